@@ -2,7 +2,7 @@
 
 A word is the bag of its character n-grams (with marks at both ends) and of itself, hashed to
 BUCKETS rows of an embedding table; a text is the mean of its words. Embeddings and softmax
-weights are trained together by Adam on labelled rows, at most `sample` of them, taken by hash of
+weights are trained together on labelled rows, at most `sample` of them, taken by hash of
 their id. Misspelt words share most of their n-grams with the words that were seen. Because all
 is linear, scoring needs one number per n-gram: the trained model is a vector of BUCKETS floats.
 
@@ -19,9 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import column, mix, slices
+from .common import column, slices
 
-BUCKETS, DIMS, SCALE = 1 << 17, 8, 30.0
+BUCKETS, DIMS, SCALE = 1 << 17, 4, 30.0
 #: At most so many labelled rows are fitted.
 SAMPLE = 8000
 GRAMS = range(3, 7)
@@ -42,19 +42,37 @@ def grams(word: bytes) -> list[int]:
     return out
 
 
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and weights of a text's n-grams; the weights add up to one."""
+def bag(text: str | None) -> tuple[bytes, np.ndarray]:
+    """A text's distinct words, joined by blanks, and the share of each."""
     own = words(text)
     counts: dict[bytes, int] = {}
     for w in own:
         counts[w] = counts.get(w, 0) + 1
-    at: dict[int, float] = {}
-    for w, n in counts.items():
-        g = grams(w)
-        share = n / len(own) / len(g)
-        for i in g:
-            at[i] = at.get(i, 0.0) + share
-    return np.fromiter(at, np.int32, len(at)), np.fromiter(at.values(), np.float32, len(at))
+    return b" ".join(counts), np.fromiter(counts.values(), np.float32, len(counts)) / max(1, len(own))
+
+
+class _Sums:
+    """Weighted sums of table rows: out[r] = sum of weight * table[col] over the cells of r; and the transpose."""
+
+    def __init__(self, cols: np.ndarray, lens: np.ndarray, weights: np.ndarray, width: int):
+        self.n, self.width, self.cols, self.weights = len(lens), width, cols, weights[:, None]
+        self.full = np.flatnonzero(lens)
+        self.starts = (np.cumsum(lens) - lens)[self.full]
+        order = np.argsort(cols, kind="stable")
+        self.rows, self.back = np.repeat(np.arange(len(lens), dtype=np.int32), lens)[order], weights[order][:, None]
+        self.seen, self.firsts = np.unique(cols[order], return_index=True)
+
+    def __call__(self, table: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.n, table.shape[1]), np.float32)
+        if len(self.full):
+            out[self.full] = np.add.reduceat(table[self.cols] * self.weights, self.starts)
+        return out
+
+    def transposed(self, grad: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.width, grad.shape[1]), np.float32)
+        if len(self.seen):
+            out[self.seen] = np.add.reduceat(grad[self.rows] * self.back, self.firsts)
+        return out
 
 
 class ToxicityModel:
@@ -80,49 +98,54 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(out, -50, 50)))
 
     @classmethod
-    def fit(cls, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 12, batch: int = 128, rate: float = 0.02, seed: int = 7) -> ToxicityModel:
-        n = len(rows)
-        share = float(labels.mean()) if n else 0.0
+    def fit(cls, bags: list[tuple[bytes, np.ndarray]], labels: np.ndarray, rounds: int = 45, rate: float = 0.5, common: float = 0.005, seed: int = 7) -> ToxicityModel:
+        """Embeddings and softmax weights by gradient descent with momentum on all rows at once.
+
+        An n-gram's step is scaled by its share of the text, and n-grams in fewer than
+        `common` of the rows stay zero: the rest can't be learnt by heart.
+        """
+        share = float(labels.mean()) if len(bags) else 0.0
         if share in (0.0, 1.0):
             return cls(np.zeros(BUCKETS, np.float32), 50.0 if share else -50.0)
+        number: dict[bytes, int] = {}
+        rows = [np.array([number.setdefault(w, len(number)) for w in joined.split()], np.int32) for joined, _ in bags]
+        owns = [np.array(grams(w), np.int32) for w in number]
+        seen = np.zeros(BUCKETS, np.int32)
+        for row in rows:
+            if len(row):
+                seen[np.unique(np.concatenate([owns[w] for w in row]))] += 1
+        used = np.flatnonzero(seen >= max(2, common * len(rows)))
+        if not len(used):
+            return cls(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
+        place = np.full(BUCKETS, -1, np.int32)
+        place[used] = np.arange(len(used))
+        lens = np.array([len(g) for g in owns])
+        flat = place[np.concatenate(owns)]
+        owner = np.repeat(np.arange(len(owns)), lens)[flat >= 0]
+        to_word = _Sums(flat[flat >= 0], np.bincount(owner, minlength=len(owns)), (1 / lens)[owner].astype(np.float32), len(used))
+        to_text = _Sums(np.concatenate(rows), np.array([len(r) for r in rows]), np.concatenate([v for _, v in bags]), len(owns))
+        mass = to_word.transposed(to_text.transposed(np.full((len(rows), 1), 1 / len(rows), np.float32)))
+        step = 1 / (mass * SCALE**2 + 1e-6)
         rng = np.random.default_rng(seed)
-        table = rng.normal(0, 0.1, (BUCKETS, DIMS)).astype(np.float32)
-        soft = rng.normal(0, 0.3, (DIMS, 2)).astype(np.float32)
+        table = rng.normal(0, 0.05, (len(used), DIMS)).astype(np.float32)
+        soft = rng.normal(0, 1, (DIMS, 2)).astype(np.float32)
         bias = np.log(np.array([1 - share, share], np.float32))
-        moments = [np.zeros_like(table), np.zeros_like(table), np.zeros_like(soft), np.zeros_like(soft), np.zeros_like(bias), np.zeros_like(bias)]
-        step = 0
-
-        def adam(value, grad, m, v, at=slice(None)):
-            m[at] = 0.9 * m[at] + 0.1 * grad
-            v[at] = 0.99 * v[at] + 0.01 * grad * grad
-            value[at] -= now * (m[at] / (1 - 0.9**step)) / (np.sqrt(v[at] / (1 - 0.99**step)) + 1e-8)
-
-        for epoch in range(epochs):
-            now = rate * (1 - epoch / epochs)
-            order = rng.permutation(n)
-            for a in range(0, n, batch):
-                step += 1
-                own = order[a : a + batch]
-                lens = np.array([len(rows[i][0]) for i in own])
-                idx = np.concatenate([rows[i][0] for i in own])
-                val = np.concatenate([rows[i][1] for i in own]) * SCALE
-                text = np.repeat(np.arange(len(own)), lens)
-                uniq, back = np.unique(idx, return_inverse=True)
-                own_table = table[uniq]
-                mean = np.zeros((len(own), DIMS), np.float32)
-                for d in range(DIMS):
-                    mean[:, d] = np.bincount(text, own_table[back, d] * val, len(own))
-                logits = mean @ soft + bias
-                p = np.exp(logits - logits.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
-                p[np.arange(len(own)), labels[own]] -= 1
-                p /= len(own)
-                back_mean = p @ soft.T
-                grad = np.stack([np.bincount(back, back_mean[text, d] * val, len(uniq)) for d in range(DIMS)], 1).astype(np.float32)
-                adam(soft, mean.T @ p, moments[2], moments[3])
-                adam(bias, p.sum(0), moments[4], moments[5])
-                adam(table, grad, moments[0], moments[1], uniq)
-        return cls((table @ (soft[:, 1] - soft[:, 0]) * SCALE).astype(np.float32), float(bias[1] - bias[0]))
+        moves = [np.zeros_like(table), np.zeros_like(soft), np.zeros_like(bias)]
+        for _ in range(rounds):
+            mean = to_text(to_word(table)) * SCALE
+            logits = mean @ soft + bias
+            p = np.exp(logits - logits.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            p[np.arange(len(rows)), labels] -= 1
+            p /= len(rows)
+            grads = [to_word.transposed(to_text.transposed((p @ soft.T * SCALE).astype(np.float32))) * step, mean.T @ p, p.sum(0)]
+            for value, move, grad, speed in zip((table, soft, bias), moves, grads, (rate, 0.05, 0.05)):
+                move *= 0.9
+                move += grad
+                value -= speed * move
+        weights = np.zeros(BUCKETS, np.float32)
+        weights[used] = table @ (soft[:, 1] - soft[:, 0]) * SCALE
+        return cls(weights, float(bias[1] - bias[0]))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -132,8 +155,7 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
     """A model from at most `sample` labelled rows that aren't held out.
 
-    docs: id, text. labels: doc_id, toxic. Only the features of the sample go to the driver,
-    each row's at most BUCKETS numbers.
+    docs: id, text. labels: doc_id, toxic. Only the sample's distinct words go to the driver.
     """
     picked = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
     picked = picked.select(F.col("doc_id").cast("bigint").alias("id"), (F.col("toxic") > 0).cast("int").alias("label")).orderBy(F.xxhash64("id"), "id", "label").limit(sample)
@@ -141,14 +163,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityM
 
     def run(batches):
         for batch in slices(batches, "text"):
-            got = [features(t) for t in column(batch, "text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "label"), pa.array([g[0].tobytes() for g in got], pa.binary()), pa.array([g[1].tobytes() for g in got], pa.binary())], ["id", "label", "idx", "val"])
-
-    # in the order of the sample's hash, whatever the partitions were
-    got = sorted(rows.select("id", "label", "text").mapInArrow(run, "id bigint, label int, idx binary, val binary").toLocalIterator(), key=lambda r: (mix(np.array([r["id"]], np.int64).view(np.uint64))[0], r["label"], r["idx"]))
-    data = [(np.frombuffer(r["idx"], np.int32), np.frombuffer(r["val"], np.float32)) for r in got]
-    keep = [i for i, (idx, _) in enumerate(data) if len(idx)]
-    return ToxicityModel.fit([data[i] for i in keep], np.array([got[i]["label"] for i in keep], np.int64))
+            got = [bag(t) for t in column(batch, "text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "label"), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1].tobytes() for g in got], pa.binary())], ["id", "label", "words", "shares"])
+
+    # in one order, whatever the partitions were
+    got = sorted(rows.select("id", "label", "text").mapInArrow(run, "id bigint, label int, words binary, shares binary").toLocalIterator(), key=lambda r: (r["id"], r["label"], r["words"]))
+    return ToxicityModel.fit([(bytes(r["words"]), np.frombuffer(r["shares"], np.float32)) for r in got], np.array([r["label"] for r in got], np.int64))
 
 
 def scored(docs: DataFrame, model: ToxicityModel, columns: list[str]) -> DataFrame:
