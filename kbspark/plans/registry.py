@@ -1,4 +1,528 @@
-"""Queries by name, and their SQL."""
+"""Queries over the driver's tables, by name, each with the DuckDB SQL that says the same.
 
-QUERIES = {}
-SQL = {}
+documents stand for docs, conversations for threads (turn = comment order, role = author), labels for
+confidence and completeness, benchmark texts for evidence quotes and names, pages for raw HTML,
+events and orders for listings that are synced. Every query runs over whole tables.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from ..functions import records as R, tags as G, text as T
+from ..operators import distill as D, pages as P, privacy as V, search as S, threads as H, validate as L
+from ..streaming import sync as Y
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# ---- text and index
+
+STOPS = ", ".join(f"'{w}'" for w in T.STOP)
+
+
+def toks(c: str) -> str:
+    return f"list_filter(string_split_regex(strip_accents(lower(coalesce({c}, ''))), '[^a-z0-9]+'), lambda x: length(x) > 1 and x not in ({STOPS}))"
+
+
+THREAD_SQL = "select conv_id, string_agg(coalesce(text, ''), ' ' order by turn, coalesce(text, '')) as text, substr(arg_min(coalesce(text, ''), (turn, coalesce(text, ''))), 1, 60) as title from conversations group by conv_id"
+DOC_REC = "select 'doc:' || doc_id as rec_id, doc_id as build_ord, 'doc' as kind, substr(coalesce(text, ''), 1, 60) as title, coalesce(text, '') as text from documents"
+RECORDS_SQL = f"{DOC_REC} union all select 'thread:' || conv_id, 1000000000 + conv_id, 'thread', title, text from ({THREAD_SQL})"
+POST_SQL = f"""tok as (select rec_id, unnest({toks('title')}) as term, 1 as is_title from recs union all select rec_id, unnest({toks('text')}), 0 from recs),
+    post as (select rec_id, term, cast(sum(is_title) as bigint) as title_tf, cast(sum(1 - is_title) as bigint) as text_tf from tok group by all)"""
+
+
+def doc_records(spark, d) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return t(spark, d, "documents").select(F.concat(F.lit("doc:"), F.col("doc_id")).alias("rec_id"), F.col("doc_id").alias("build_ord"), F.lit("doc").alias("kind"), F.substring(text, 1, 60).alias("title"), text.alias("text"))
+
+
+def thread_records(spark, d) -> DataFrame:
+    c = t(spark, d, "conversations")
+    first = F.min(F.struct("turn", F.coalesce("text", F.lit("")).alias("x"))).alias("f")
+    th = H.joined(c, "conv_id", "turn", "text").join(c.groupBy("conv_id").agg(first), "conv_id")
+    return th.select(F.concat(F.lit("thread:"), F.col("conv_id")).alias("rec_id"), (F.lit(1000000000) + F.col("conv_id")).alias("build_ord"), F.lit("thread").alias("kind"), F.substring("f.x", 1, 60).alias("title"), "text")
+
+
+def records(spark, d) -> DataFrame:
+    return S.unify(doc_records(spark, d), thread_records(spark, d))
+
+
+@query(f"select doc_id, cast(len({toks('text')}) as int) as n_terms, array_to_string({toks('text')}, ' ') as terms from documents")
+def tokenize_terms(spark, d):
+    w = T.tokens(F.col("text"))
+    return t(spark, d, "documents").select("doc_id", F.size(w).alias("n_terms"), F.array_join(w, " ").alias("terms"))
+
+
+@query(f"with recs as ({DOC_REC}), {POST_SQL} select rec_id, term, title_tf, text_tf from post")
+def term_frequency(spark, d):
+    return S.postings(doc_records(spark, d))
+
+
+@query(f"with recs as ({RECORDS_SQL}), {POST_SQL}, n as (select count(*) as n from recs) select term, count(*) as df, round(ln((any_value(n) + 1) / (count(*) + 0.5)), 6) as idf from post, n group by term")
+def document_frequency(spark, d):
+    r = records(spark, d)
+    n = F.broadcast(r.agg(F.count("*").alias("n")))
+    return S.document_frequency(S.postings(r)).crossJoin(n).select("term", "df", F.round(S.idf(F.col("n"), F.col("df")), 6).alias("idf"))
+
+
+@query("select 'doc' as kind, count(*) as n from documents union all select 'thread', count(distinct conv_id) from conversations having count(*) > 0 union all select 'distilled', count(*) from benchmark having count(*) > 0")
+def unified_records_by_kind(spark, d):
+    quotes = t(spark, d, "benchmark").select(F.concat(F.lit("quote:"), F.col("item_id")).alias("rec_id"), F.lit("").alias("title"), "text")
+    return S.unify(doc_records(spark, d).drop("kind"), thread_records(spark, d).drop("kind"), quotes).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+WORDS = {1: "heed anly", 2: "letre ouch éeau", 3: "erver einkeit", 4: "heed heed thble", 5: "byoda companion", 6: "ciónte al bo"}
+
+
+def search_sql(recs: str, words: dict[int, str], k: int, synonyms: dict[str, list[str]] = T.SYNONYMS) -> str:
+    qs = ", ".join(f"({i}, '{w}')" for i, w in words.items())
+    syn = ", ".join(f"('{a}', '{b}')" for a, many in synonyms.items() for b in many)
+    return f"""with recs as ({recs}), {POST_SQL},
+    raw_q(query_id, query) as (values {qs}),
+    q0 as (select query_id, {toks('query')} as w from raw_q),
+    q as (select query_id, unnest(range(len(w))) as qpos, unnest(w) as term, len(w) as m from q0),
+    syn(term, alias) as (values {syn}),
+    qa as (select q.*, coalesce(syn.alias, q.term) as alias from q left join syn on q.term = syn.term),
+    best as (select query_id, qpos, qa.term, m, rec_id, max(title_tf) as title_tf, max(text_tf) as text_tf from qa join post on post.term = qa.alias group by all),
+    dfs as (select term, count(*) as df from post group by term), n as (select count(*) as n from recs),
+    sc as (select query_id, rec_id, round(sum(ln((n + 1) / (coalesce(df, 0) + 0.5)) * (5 * title_tf + text_tf)) * (0.35 + 0.65 * count(*) / any_value(m)), 6) as score, count(*) as matched
+           from best left join dfs on dfs.term = best.term, n group by query_id, rec_id),
+    rk as (select query_id, cast(row_number() over (partition by query_id order by score desc, build_ord) as int) as rank, rec_id, score, matched from sc join recs using (rec_id)),
+    top as (select * from rk where rank <= {k})"""
+
+
+@query(search_sql(RECORDS_SQL, {1: WORDS[1]}, 25) + " select * from top")
+def search_tfidf_topk(spark, d):
+    return S.search(records(spark, d), {1: WORDS[1]}, 25)
+
+
+SYN = {"heed": ["heed", "thble", "anly"], "thble": ["thble", "heed"]}
+
+
+@query(search_sql(DOC_REC, {4: WORDS[4], 5: WORDS[5]}, 25, SYN) + " select * from top")
+def search_synonyms(spark, d):
+    return S.search(doc_records(spark, d), {4: WORDS[4], 5: WORDS[5]}, 25, SYN)
+
+
+@query(search_sql(RECORDS_SQL, WORDS, 10) + " select * from top")
+def search_multi_query(spark, d):
+    return S.search(records(spark, d), WORDS, 10)
+
+
+@query(search_sql(RECORDS_SQL, {1: WORDS[1]}, 60) + " select top.* from top join recs using (rec_id) where kind = 'thread'")
+def search_post_filter(spark, d):
+    r = records(spark, d)
+    return S.facet_filter(S.search(r, {1: WORDS[1]}, 60).join(r.select("rec_id", "kind"), "rec_id"), kind="thread").select("query_id", "rank", "rec_id", "score", "matched")
+
+
+@query(
+    search_sql(RECORDS_SQL, {1: WORDS[1]}, 60)
+    + """, w as (select top.rec_id, text, strip_accents(lower(text)) as hay from top join recs using (rec_id)),
+    p as (select *, least(coalesce(nullif(instr(hay, 'heed'), 0), 2000000000), coalesce(nullif(instr(hay, 'anly'), 0), 2000000000)) as a0 from w),
+    b as (select *, greatest(a0 - 1 - 80, 0) as s0 from p), e as (select *, least(s0 + 300, length(text)) as fin, instr(substr(text, s0 + 1), ' ') as g from b),
+    s as (select *, case when s0 = 0 then 0 when g > 0 then s0 + g else 0 end as st from e)
+    select rec_id, case when a0 = 2000000000 then substr(text, 1, 240) else
+      case when st > 0 then '… ' else '' end || trim(regexp_replace(substr(text, st + 1, greatest(fin - st, 0)), '\\s+', ' ', 'g')) || case when fin < length(text) then ' …' else '' end end as snippet from s"""
+)
+def search_snippet(spark, d):
+    r = records(spark, d)
+    hit = S.search(r, {1: WORDS[1]}, 60).select("rec_id").join(r.select("rec_id", "text"), "rec_id")
+    return hit.select("rec_id", T.snippet(F.col("text"), F.array(F.lit("heed"), F.lit("anly"))).alias("snippet"))
+
+
+@query(
+    r"""with s as (select doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) as s from documents),
+    h as (select *, substr(s, 1, 90) as hd from s), c as (select *, instr(reverse(hd), ' ') as r from h)
+    select doc_id, case when length(s) <= 90 then s else regexp_replace(case when r > 0 and 90 - r > 30 then substr(hd, 1, 90 - r) else hd end, '[ ,;:.]+$', '') || '…' end as headline from c"""
+)
+def headline(spark, d):
+    return t(spark, d, "documents").select("doc_id", T.headline(F.col("text")).alias("headline"))
+
+
+# ---- threads
+
+
+@query(f"select conv_id, text from ({THREAD_SQL})")
+def thread_search_text(spark, d):
+    return H.joined(t(spark, d, "conversations"), "conv_id", "turn", "text")
+
+
+@query(
+    """with e as (select user_id, event_id, ts, event_type from events), c as (select user_id, max(ts) as closed from e where event_type = 'purchase' group by user_id),
+    p as (select e.*, closed, closed is null or ts <= closed as pre from e left join c using (user_id)),
+    r as (select *, row_number() over (partition by user_id, pre order by ts, event_id) as i, count(*) over (partition by user_id, pre) as n, count(*) filter (pre) over (partition by user_id) as pres from p)
+    select user_id, event_id from r where (pre and (n <= 8 or i <= 3 or i > n - 5)) or (not pre and pres < 4 and i <= 4 - pres)"""
+)
+def keep_comments_head_tail(spark, d):
+    e = t(spark, d, "events").select("user_id", "event_id", "ts", "event_type")
+    closed = e.where("event_type = 'purchase'").groupBy("user_id").agg(F.max("ts").alias("closed"))
+    return H.keep_comments(e.join(closed, "user_id", "left"), "user_id", "ts", "closed", "event_id", 3, 5, 4).select("user_id", "event_id")
+
+
+@query(
+    """with b as (select conv_id, turn, coalesce(text, '') as text, length(coalesce(text, '')) as l from conversations),
+    r as (select *, row_number() over (partition by conv_id order by turn) as i, count(*) over (partition by conv_id) as n from b),
+    m as (select r.conv_id, x.m, sum(r.l) as size from r, (select unnest(range(1, 200)) as m) x where x.m <= r.n and (r.i <= ceil(x.m / 2.0) or r.i > r.n - floor(x.m / 2.0)) group by all),
+    best as (select conv_id, coalesce(max(m) filter (size <= 600), 1) as m from m group by conv_id)
+    select conv_id, turn, case when m = 1 then substr(text, 1, 600) else text end as text from r join best using (conv_id) where i <= ceil(m / 2.0) or i > n - floor(m / 2.0)"""
+)
+def thread_text_budget(spark, d):
+    c = t(spark, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    return H.within_budget(c, "conv_id", "turn", "text", 600).select("conv_id", "turn", "text")
+
+
+@query("select doc_id, substr(coalesce(text, ''), 1, 4000) as body, length(substr(coalesce(text, ''), 1, 1000)) as n from documents")
+def truncate_bodies(spark, d):
+    return t(spark, d, "documents").select("doc_id", T.truncated(F.col("text"), 4000).alias("body"), F.length(T.truncated(F.col("text"), 1000)).alias("n"))
+
+
+@query("select source, doc_id, n_chars from (select source, doc_id, n_chars, row_number() over (partition by source order by n_chars desc, doc_id) as r from documents where not regexp_matches(coalesce(text, ''), '(?i)licen[sc]e|rights reserved')) where r <= 25")
+def first_k_per_group(spark, d):
+    ok = t(spark, d, "documents").where(~F.coalesce("text", F.lit("")).rlike("(?i)licen[sc]e|rights reserved"))
+    return H.first_per_group(ok.select("source", "doc_id", "n_chars"), "source", 25, F.desc("n_chars"), F.col("doc_id"))
+
+
+@query("select min(doc_id) as doc_id, sha256(coalesce(text, '')) as text_key from documents group by coalesce(text, '')")
+def dedupe_first_seen(spark, d):
+    k = t(spark, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_key"))
+    return H.first_seen(k, ["text_key"], "doc_id")
+
+
+# ---- tags, facets, order
+
+SCAN = {"en-the": "(^|[^a-z])the([^a-z]|$)", "license": "licen[sc]e", "fr-les": "(^|[^a-z])les([^a-z]|$)", "mail": "@"}
+
+
+@query("select doc_id, concat_ws(',', " + ", ".join(f"case when regexp_matches(lower(coalesce(text, '')), '{p}') then '{k}' end" for k, p in SCAN.items()) + ") as tags from documents")
+def tag_scan(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.array_join(G.scan(F.col("text"), SCAN), ",").alias("tags"))
+
+
+PARTS = [("exact", [], ["part 1"]), ("steel", ["steel"], []), ("brass", ["brass"], []), ("part", ["part"], [])]
+
+
+@query(
+    """with s as (select p_partkey, trim(regexp_replace(lower(coalesce(p_name, '')), '[^a-z0-9]+', ' ', 'g')) as s from part)
+    select p_partkey, case when s = 'part 1' then 'exact' when contains(s, 'steel') then 'steel' when contains(s, 'brass') then 'brass' when contains(s, 'part') then 'part' end as tag from s"""
+)
+def tag_canonicalize(spark, d):
+    return t(spark, d, "part").select("p_partkey", G.canonical(F.col("p_name"), PARTS).alias("tag"))
+
+
+@query(r"select doc_id, array_to_string(list_distinct_first(regexp_extract_all(coalesce(text, ''), '(?i)version (\d+(?:\.\d+)?)', 1)), ',') as versions from documents".replace("list_distinct_first", "list_distinct"))
+def version_extract(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.array_join(G.versions(F.col("text"), "version", "", 0), ",").alias("versions"))
+
+
+@query("select 'lang' as facet, lang as value, count(*) as n from documents group by lang union all select 'source', source, count(*) from documents group by source")
+def facet_counts(spark, d):
+    return S.facets(t(spark, d, "documents").select(F.array("lang").alias("a"), F.array("source").alias("b")), lang="a", source="b")
+
+
+BROWSE_SQL = """rec as (select 'd' || d.doc_id as rec_id, case when toxic = 1 then 'doc' when quality is not null then 'distilled' else 'thread' end as kind,
+    case when quality = 1 then 'high' when quality = 0 then 'low' end as confidence, n_chars as comments, substr(coalesce(text, ''), 1, 40) as title, quality = 1 as complete
+    from documents d left join (select doc_id, max(quality) as quality, max(toxic) as toxic from labels group by doc_id) l on d.doc_id = l.doc_id),
+    ord as (select *, row_number() over (order by case kind when 'doc' then 0 when 'distilled' then 1 else 2 end,
+      case when kind = 'distilled' then case confidence when 'high' then -3 when 'medium' then -2 when 'low' then -1 else 0 end else 0 end, comments desc nulls last, title, rec_id) as pos from rec)"""
+
+
+def browse_records(spark, d) -> DataFrame:
+    lab = t(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    j = t(spark, d, "documents").join(lab, "doc_id", "left")
+    kind = F.when(F.col("toxic") == 1, "doc").when(F.col("quality").isNotNull(), "distilled").otherwise("thread")
+    conf = F.when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low")
+    return j.select(F.concat(F.lit("d"), F.col("doc_id")).alias("rec_id"), kind.alias("kind"), conf.alias("confidence"), F.col("n_chars").alias("comments"), F.substring(F.coalesce("text", F.lit("")), 1, 40).alias("title"), (F.col("quality") == 1).alias("complete"))
+
+
+@query(f"with {BROWSE_SQL} select rec_id, kind, title from ord where pos <= 40")
+def browse_order(spark, d):
+    return S.browse(browse_records(spark, d)).select("rec_id", "kind", "title")
+
+
+@query(f"with {BROWSE_SQL} select rec_id, kind from ord where pos > 80 and pos <= 120")
+def browse_page(spark, d):
+    return S.browse(browse_records(spark, d), page=2).select("rec_id", "kind")
+
+
+@query(f"with {BROWSE_SQL} select rec_id, comments, title from rec where complete order by case confidence when 'high' then 3 when 'medium' then 2 when 'low' then 1 else 0 end desc, comments desc nulls last, title, rec_id limit 4")
+def top_records(spark, d):
+    return S.top_records(browse_records(spark, d)).select("rec_id", "comments", "title")
+
+
+@query(f"with {BROWSE_SQL} select kind, count(*) as n, count(*) filter (kind = 'distilled' and not coalesce(complete, false)) as incomplete, count(*) filter (kind <> 'distilled' or coalesce(complete, false)) as shown from rec group by kind")
+def completeness_filter(spark, d):
+    r = browse_records(spark, d).withColumn("complete", F.coalesce("complete", F.lit(False)))
+    return r.groupBy("kind").agg(F.count("*").alias("n"), F.count_if((F.col("kind") == "distilled") & ~F.col("complete")).alias("incomplete"), F.count_if((F.col("kind") != "distilled") | F.col("complete")).alias("shown"))
+
+
+# ---- joins, state, gates
+
+
+@query("select d.doc_id, coalesce(n, 0) as comment_count from documents d left join (select conv_id, count(*) as n from conversations group by conv_id) c on c.conv_id = d.doc_id")
+def comment_count_left_join(spark, d):
+    cc = t(spark, d, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.count("*").alias("n"))
+    return t(spark, d, "documents").select("doc_id").join(cc, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("comment_count"))
+
+
+@query("select o_orderkey as stem, o_totalprice as comment_count from orders where o_orderkey not in (select l_orderkey from lineitem where l_returnflag = 'R' and l_orderkey is not null) order by o_orderkey % 97 = 0 desc, o_totalprice desc nulls last, case when o_orderkey % 97 <> 0 then o_custkey end desc nulls last, o_orderkey limit 200")
+def pick_next_batch(spark, d):
+    o = t(spark, d, "orders").select(F.col("o_orderkey").alias("stem"), F.col("o_totalprice").alias("comment_count"), F.col("o_custkey").alias("number"))
+    done = t(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("stem"))
+    anchor = F.col("stem") % 97 == 0
+    left = o.join(done.distinct(), "stem", "left_anti")
+    return left.orderBy(F.desc(anchor), F.desc_nulls_last("comment_count"), F.desc_nulls_last(F.when(~anchor, F.col("number"))), "stem").limit(200).select("stem", "comment_count")
+
+
+@query(
+    """with k as (select doc_id, source, row_number() over (partition by source order by n_chars desc, doc_id) as r from documents)
+    select doc_id, 'kept' as why from k where r <= 5 union all
+    select distinct d.doc_id, 'anchor' from documents d join labels l on l.doc_id = d.doc_id and l.toxic = 1 where d.doc_id not in (select doc_id from k where r <= 5)"""
+)
+def topic_anchor_union(spark, d):
+    docs = t(spark, d, "documents").select("doc_id", "source", "n_chars")
+    kept = H.first_per_group(docs, "source", 5, F.desc("n_chars"), F.col("doc_id")).select("doc_id")
+    anchors = t(spark, d, "labels").where("toxic = 1").select("doc_id").distinct()
+    more = docs.select("doc_id").join(anchors, "doc_id", "left_semi").join(kept, "doc_id", "left_anti").distinct()
+    return kept.withColumn("why", F.lit("kept")).unionByName(more.withColumn("why", F.lit("anchor")))
+
+
+@query("select doc_id, n_chars from documents where regexp_matches(coalesce(text, ''), '(?i)(^|[^a-z])(the|les)([^a-z]|$)') and regexp_matches(coalesce(text, ''), '(?i)idiot|moron|trash') order by n_chars desc, doc_id limit 15")
+def two_pattern_candidates(spark, d):
+    x = F.coalesce("text", F.lit(""))
+    ok = x.rlike("(?i)(^|[^a-z])(the|les)([^a-z]|$)") & x.rlike("(?i)idiot|moron|trash")
+    return t(spark, d, "documents").where(ok).orderBy(F.desc("n_chars"), "doc_id").limit(15).select("doc_id", "n_chars")
+
+
+NORM_SQL = r"lower(trim(regexp_replace({c}, '\s+', ' ', 'g')))"
+
+
+def quote_places(spark, d, of: Column) -> DataFrame:
+    """(item_id, quote, doc_id, text): candidates by the quote's second to fourth word, so that nothing is crossed."""
+    words = F.filter(F.split(T.norm(F.col("text")), " "), lambda w: w != "")
+    cut = lambda df: df.withColumn("w", words)  # noqa: E731 - a column of its own, so that lambdas don't split again
+    q = cut(t(spark, d, "benchmark")).select("item_id", F.col("text").alias("quote"), F.xxhash64(F.slice("w", 2, 3)).alias("k"))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, 3)))
+    docs = cut(t(spark, d, "documents")).select("doc_id", "text", F.explode(F.array_distinct(runs)).alias("k"))
+    return docs.join(q, "k").where(of)
+
+
+@query(f"select item_id, count(doc_id) as n_docs, min(doc_id) as first_doc from benchmark b left join documents d on contains({NORM_SQL.format(c='d.text')}, {NORM_SQL.format(c='b.text')}) group by item_id")
+def quote_containment(spark, d):
+    found = quote_places(spark, d, T.quoted_in(F.col("quote"), F.col("text"))).select("item_id", "doc_id").groupBy("item_id").agg(F.count("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+    return t(spark, d, "benchmark").select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("n_docs", F.lit(0)).cast("bigint").alias("n_docs"), "first_doc")
+
+
+@query(
+    rf"""with e as (select doc_id, text, regexp_extract_all(lower(split_part({NORM_SQL.format(c="coalesce(text, '')")}, '.', 2)), '[a-z0-9]{{2,}}') as r from documents)
+    select doc_id, coalesce(len(r) > 0 and len(list_filter(r, lambda x: not (contains({NORM_SQL.format(c='text')}, x) or contains(regexp_replace({NORM_SQL.format(c='text')}, '\s+', '', 'g'), x)))) = 0, false) as ok from e"""
+)
+def token_containment(spark, d):
+    entry = F.split_part(T.norm(F.coalesce("text", F.lit(""))), F.lit("."), F.lit(2))
+    return t(spark, d, "documents").select("doc_id", T.named_in(entry, F.col("text")).alias("ok"))
+
+
+@query(
+    """with j as (select d.doc_id, d.lang, length(trim(coalesce(text, ''))) as l, n_chars, quality, toxic from documents d left join (select doc_id, max(quality) as quality, max(toxic) as toxic from labels group by doc_id) x on x.doc_id = d.doc_id)
+    select doc_id, concat_ws('; ', case when l < 100 then 'text is short' end, case when not coalesce(lang in ('en', 'fr', 'de'), false) then 'lang is not a known one' end, case when quality is null then 'no label' end, case when toxic = 1 then 'toxic' end) as error from j
+    where l < 100 or not coalesce(lang in ('en', 'fr', 'de'), false) or quality is null or toxic = 1"""
+)
+def validate_records(spark, d):
+    lab = t(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    j = t(spark, d, "documents").join(lab, "doc_id", "left")
+    e = L.errors((F.length(F.trim(F.coalesce("text", F.lit("")))) < 100, "text is short"), (~F.coalesce(F.col("lang").isin("en", "fr", "de"), F.lit(False)), "lang is not a known one"), (F.col("quality").isNull(), "no label"), (F.col("toxic") == 1, "toxic"))
+    return L.routed(j.withColumn("errors", e))[1].select("doc_id", "error")
+
+
+@query("select l.doc_id, case when d.doc_id is null then 'no matching source' when quality = 1 and n_chars < 200 then 'short' else '' end as error from labels l left join documents d on d.doc_id = l.doc_id")
+def referential_gate(spark, d):
+    r = L.referential(t(spark, d, "labels"), t(spark, d, "documents").select("doc_id", "n_chars"), "doc_id", [((F.col("quality") == 1) & (F.col("n_chars") < 200), "short")])
+    return r.select("doc_id", F.array_join("errors", "; ").alias("error"))
+
+
+@query("select count(*) as checked, count(*) filter (coalesce(trim(url), '') = '') as no_url, count(*) filter (coalesce(trim(html), '') = '') as blank, count(*) >= 6 as enough from pages")
+def attribution_gate(spark, d):
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    return t(spark, d, "pages").agg(F.count("*").alias("checked"), F.count_if(blank(F.col("url"))).alias("no_url"), F.count_if(blank(F.col("html"))).alias("blank"), (F.count("*") >= 6).alias("enough"))
+
+
+@query("select event_id, array_to_string(list_sort(list_filter(json_keys(props), lambda x: x not in ('id', 'source'))), ',') as extra from events where len(list_filter(json_keys(props), lambda x: x not in ('id', 'source'))) > 0")
+def key_whitelist_violations(spark, d):
+    return t(spark, d, "events").select("event_id", L.whitelist_violations(F.col("props"), ["id", "source"]).alias("e")).where(F.size("e") > 0).select("event_id", F.array_join("e", ",").alias("extra"))
+
+
+# ---- privacy
+
+SALT = b"test-salt"
+_KEY = SALT.ljust(64, b"\0")
+_HEX = lambda pad: bytes(b ^ pad for b in _KEY).hex()
+
+
+@query(f"select c_custkey, 'member-' || substr(sha256(from_hex('{_HEX(0x5C)}') || from_hex(sha256(from_hex('{_HEX(0x36)}') || encode(c_name)))), 1, 8) as pseudonym from customer")
+def pseudonymize_hmac(spark, d):
+    return t(spark, d, "customer").select("c_custkey", R.pseudonym(SALT, F.col("c_name")).alias("pseudonym"))
+
+
+@query(
+    rf"""with r as (select distinct array_to_string(list_slice(string_split_regex(trim(text), '\s+'), 1, 2), ' ') as name from benchmark),
+    n as (select name, {NORM_SQL.format(c='name')} as k from r where regexp_matches(name, '[A-Za-zÀ-ÿ]') and len(list_filter(string_split_regex(name, '\s+'), lambda w: length(w) > 2 or regexp_matches(w, '[^\x00-\x7F]'))) > 0), x as (select doc_id, {NORM_SQL.format(c='text')} as h from documents)
+    select doc_id, name from x join n on contains(h, k) and regexp_matches(h, '(^|[^a-z0-9])' || regexp_escape(k) || '([^a-z0-9]|$)')"""
+)
+def name_leak_scan(spark, d):
+    roster = t(spark, d, "benchmark").select(F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), 1, 2), " ").alias("name")).distinct()
+    return V.name_leaks(t(spark, d, "documents").select("doc_id", "text"), roster).select("doc_id", "name")
+
+
+@query(
+    "select conv_id, turn, concat_ws('; ', case when role not in ('user', 'assistant') then 'comment author is no pseudonym' end, case when coalesce(text, '') = '' then 'comment text and posted_at must be strings' end) as error from conversations where role not in ('user', 'assistant') or coalesce(text, '') = ''"
+)
+def hygiene_gate(spark, d):
+    member = F.when(F.col("role").isin("user", "assistant"), R.pseudonym(SALT, F.col("role"))).otherwise(F.col("role"))
+    comment = F.struct(member.alias("pseudonym"), F.nullif("text", F.lit("")).alias("text"), F.lit("2024").alias("posted_at"))
+    j = F.to_json(F.struct(F.lit("facebook").alias("source"), F.lit("https://facebook.com/x").alias("url"), F.array(comment).alias("comments")))
+    return t(spark, d, "conversations").select("conv_id", "turn", V.hygiene(j).alias("e")).where(F.size("e") > 0).select("conv_id", "turn", F.array_join("e", "; ").alias("error"))
+
+
+@query()
+def harvest_names(spark, d):
+    j = F.to_json(F.struct(F.struct(F.col("c_name").alias("name"), F.array(F.col("c_name")).alias("handle")).alias("user"), F.lit("x").alias("text")))
+    return V.strings(t(spark, d, "customer").select("c_custkey", j.alias("j")), "c_custkey", "j", names=True)
+
+
+@query("select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') as iso, strftime(to_timestamp(cast(floor(epoch(ts)) as bigint)) at time zone 'UTC', '%Y-%m-%dT%H:%M:%SZ') as from_epoch, substr(strftime(ts, '%Y-%m-%d'), 1, 10) as day from events")
+def timestamp_normalize(spark, d):
+    s = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    epoch = F.unix_timestamp("ts").cast("string")
+    return t(spark, d, "events").select("event_id", R.iso_timestamp(s).alias("iso"), R.iso_timestamp(epoch).alias("from_epoch"), F.substring(R.iso_timestamp(s), 1, 10).alias("day"))
+
+
+@query("select event_id, coalesce(nullif(trim(json_extract_string(props, '$.name')), ''), nullif(trim(json_extract_string(props, '$.k')), '')) as v, coalesce(case when regexp_full_match(json_extract_string(props, '$.k'), '\\d+') then cast(json_extract_string(props, '$.k') as bigint) end, 0) as n from events")
+def alias_coalesce(spark, d):
+    p = F.col("props")
+    return t(spark, d, "events").select("event_id", R.first_alias(p, ["name", "k"]).alias("v"), F.coalesce(R.first_int(p, ["n", "k"]), F.lit(0)).cast("bigint").alias("n"))
+
+
+# ---- HTML, markdown
+
+
+@query()
+def html_to_markdown(spark, d):
+    return t(spark, d, "pages").select("page_id", P.markdown(F.col("html")).alias("markdown"))
+
+
+@query(r"select page_id, trim(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) as text from pages")
+def html_strip_native(spark, d):
+    return t(spark, d, "pages").select("page_id", P.stripped(F.col("html")).alias("text"))
+
+
+@query(r"select page_id, regexp_replace(regexp_extract(coalesce(url, ''), '^https?://([^/:?#]+)', 1), '^www\.', '') as host from pages")
+def url_host(spark, d):
+    return t(spark, d, "pages").select("page_id", T.url_host(F.col("url")).alias("host"))
+
+
+@query(
+    r"""with l as (select doc_id, unnest(range(len(a))) as pos, trim(unnest(a)) as line from (select doc_id, string_split(coalesce(text, ''), chr(10)) as a from documents)),
+    e as (select doc_id, pos, replace(replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') as x from l where line <> '' and not regexp_matches(line, '^(#{1,6} |[-*] |\d+\. )') and not regexp_matches(line, '^(-{3,}|\*{3,})$')),
+    h as (select doc_id, pos, '<p>' || regexp_replace(regexp_replace(regexp_replace(x, '`([^`]+)`', '<code>\1</code>', 'g'), '\*\*([^*]+)\*\*', '<strong>\1</strong>', 'g'), '\*([^*]+)\*', '<em>\1</em>', 'g') || '</p>' as html from e)
+    select doc_id, string_agg(html, chr(10) order by pos) as html from h where doc_id in (select doc_id from documents where not regexp_matches(coalesce(text, ''), '(^|\n)\s*(#{1,6} |[-*] |\d+\. |-{3,}|\*{3,})')) group by doc_id"""
+)
+def markdown_to_html(spark, d):
+    docs = t(spark, d, "documents").where(~F.coalesce("text", F.lit("")).rlike(r"(^|\n)\s*(#{1,6} |[-*] |\d+\. |-{3,}|\*{3,})"))
+    return P.to_html(docs.select("doc_id", "text"), "doc_id", "text")
+
+
+# ---- incremental and streaming
+
+
+
+@query("with w as (select epoch_ms(cast((epoch_ms(min(ts)) + epoch_ms(max(ts))) / 2 as bigint)) as w from events) select event_id from events, w where user_id % 3 <> 0 or ts > w")
+def incremental_watermark(spark, d):
+    e = t(spark, d, "events").select("event_id", "user_id", "ts")
+    w = e.agg(F.timestamp_millis(((F.unix_millis(F.min("ts").cast("timestamp_ltz")) + F.unix_millis(F.max("ts").cast("timestamp_ltz"))) / 2).cast("bigint")).cast(dict(e.dtypes)["ts"]).alias("w")).first()[0]
+    saved = e.where("user_id % 3 = 0").select("event_id")
+    return Y.changed(e, saved, "event_id", "ts", w).select("event_id")
+
+
+@query("select event_type, count(*) filter (user_id % 10 <> 0) as seen, count(*) filter (user_id % 10 = 0) as pr_skipped, count(*) filter (user_id % 10 <> 0 and value <= 50) as fetched, count(*) filter (user_id % 10 <> 0 and value > 50) as skipped from events group by event_type")
+def sync_summary(spark, d):
+    return Y.summary(t(spark, d, "events"), "event_type", F.col("user_id") % 10 == 0, F.col("value") > 50)
+
+
+LATEST_SQL = "select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events) where r = 1"
+
+
+@query(LATEST_SQL)
+def latest_wins_dedupe(spark, d):
+    return H.latest(t(spark, d, "events").select("user_id", "event_id", "ts", "event_type"), ["user_id"], "ts", "event_id").select("user_id", "event_id", "event_type")
+
+
+def work_path(spark) -> str:
+    """A fresh folder that driver and executors share: under spark.checkpoint.dir, a temporary one only where that is unset (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/kbspark"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+@query(LATEST_SQL)
+def stream_upsert_equals_batch(spark, d):
+    base = work_path(spark)
+    e = t(spark, d, "events").select("user_id", "event_id", "ts", "event_type")
+    e.repartition(4, "event_id").write.parquet(f"{base}/in")
+    Y.stream_upsert(spark, f"{base}/in", e.schema, f"{base}/out", f"{base}/state", ["user_id"], "ts", "event_id", files=2)
+    return spark.read.parquet(f"{base}/out").select("user_id", "event_id", "event_type")
+
+
+@query("select date_trunc('hour', ts) as start, event_type, count(*) as n from events group by all")
+def windowed_event_counts(spark, d):
+    return Y.windowed_counts(t(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+# ---- extraction
+
+
+def stub(text: str, hint: str) -> tuple[str, int, int]:
+    """A deterministic extractor: its first answer quotes badly for a third of the texts, its second well."""
+    import json
+
+    good = hint or int(hashlib.sha256(text.encode()).hexdigest(), 16) % 3
+    quote = " ".join(text.split())[:60] if good else "nowhere to be found"
+    record = {"title": text[:40] or "none", "symptom": None, "cause": None, "fix": None, "settings_changed": [], "devices": [], "android_versions": [], "driver_tags": [], "confidence": "low", "evidence_quote": quote}
+    return "```json\n" + json.dumps(record) + "\n```", len(text) // 4, 100
+
+
+@query()
+def distill_with_stub(spark, d):
+    base = work_path(spark)
+
+    def store(df, name):
+        df.write.parquet(f"{base}/{name}")
+        return spark.read.parquet(f"{base}/{name}")
+
+    th = H.joined(t(spark, d, "conversations"), "conv_id", "turn", "text", "\n")
+    done = D.distill(th, stub, store, key="conv_id", keys=L.SOCIAL_KEYS)
+    return done.select("conv_id", "attempts", F.array_join("errors", "; ").alias("error"), "tokens_in", "tokens_out")
+
+
+@query("select count(distinct conv_id) as threads, cast(sum(length(text) // 4) as bigint) as tokens_in, 100 * count(distinct conv_id) as tokens_out, round(sum(length(text) // 4) / 1e6 * 0.14 + 100 * count(distinct conv_id) / 1e6 * 0.28, 6) as cost from conversations")
+def batch_cost_report(spark, d):
+    per = t(spark, d, "conversations").groupBy("conv_id").agg(F.sum(F.floor(F.length("text") / 4)).alias("i"))
+    i, o = F.sum("i"), F.lit(100) * F.count("*")
+    return per.agg(F.count("*").alias("threads"), i.cast("bigint").alias("tokens_in"), o.cast("bigint").alias("tokens_out"), F.round(R.cost(i, o), 6).alias("cost"))
