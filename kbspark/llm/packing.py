@@ -16,6 +16,7 @@ each for itself; extra columns are ignored; an empty table gives an empty table.
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 
 import numpy as np
@@ -31,8 +32,24 @@ SHARE = 60_000
 CACHE = 1_000_000
 
 
+#: Runs between ASCII white space; one that ends in a letter or digit of ASCII and punctuation is cut between them, as the tokenizer cuts it.
+_RUN = re.compile(rb"[^\s]*[a-z0-9](?=[,.!?*#$%&;:]+(?:\s|\Z))|[^\s]+")
+
+
+class _Numbers(dict):
+    """Numbers of runs, in order of first appearance; `new` has those without ids."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, run: bytes) -> int:
+        n = self[run] = len(self)
+        self.new.append(run)
+        return n
+
+
 class WordTokens:
-    """Ids of texts by a tokenizer that never lets a token cross ASCII white space: what a run of other characters gives is kept."""
+    """Ids of texts by a tokenizer of lower case that never lets a token cross ASCII white space: what a run of other characters gives is kept."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
@@ -40,28 +57,25 @@ class WordTokens:
         self.forget()
 
     def forget(self) -> None:
-        self.words: dict[bytes, int] = {}
+        self.runs = _Numbers()
         self.starts, self.lens, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.words) > CACHE:
+        if len(self.runs) > CACHE:
             self.forget()
-        known, cut = self.words, [(t or "").encode().split() for t in texts]
-        new = list({w for own in cut for w in own if w not in known})
-        for a in range(0, len(new), 50_000):
-            part = new[a : a + 50_000]
-            rows = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)]
-            lens = np.array([len(r) for r in rows], np.int64)
-            for i, w in enumerate(part, len(known)):
-                known[w] = i
-            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lens) - lens])
-            self.lens = np.concatenate([self.lens, lens])
-            self.ids = np.concatenate([self.ids, np.fromiter((x for r in rows for x in r), np.uint32, int(lens.sum()))])
-        out = []
-        for own in cut:
-            at = np.fromiter(map(known.__getitem__, own), np.int64, len(own))
-            out.append(self.ids[ragged(self.starts[at], self.lens[at])])
-        return out
+        number = self.runs.__getitem__
+        rows = [np.array(list(map(number, _RUN.findall((t or "").encode().lower()))), np.int64) for t in texts]
+        new, self.runs.new = self.runs.new, []
+        ids, lens = [self.ids], [self.lens]
+        for a in range(0, len(new), 20_000):
+            part = new[a : a + 20_000]
+            # as one text that is cut already: a token knows its run's number
+            got = self.tokenizer.encode([w.decode() for w in part], is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.array(got.ids, np.uint32))
+            lens.append(np.bincount(np.array(got.word_ids, np.int64), minlength=len(part)))
+        self.ids, self.lens = np.concatenate(ids), np.concatenate(lens)
+        self.starts = np.cumsum(self.lens) - self.lens
+        return [self.ids[ragged(self.starts[at], self.lens[at])] for at in rows]
 
 
 @functools.lru_cache(maxsize=1)
