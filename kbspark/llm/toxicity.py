@@ -21,9 +21,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import column, slices
 
-BUCKETS, DIMS, SCALE = 1 << 17, 4, 30.0
+BUCKETS, DIMS, SCALE = 1 << 17, 2, 30.0
 #: At most so many labelled rows are fitted.
-SAMPLE = 8000
+SAMPLE = 5000
 GRAMS = range(3, 7)
 CACHE = 500_000
 #: ASCII letters in lower case, digits as they are, other ASCII as blanks.
@@ -75,24 +75,29 @@ class _Sums:
         return out
 
 
+class _Scores(dict):
+    """What each word adds, on average over its n-grams."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights = weights
+
+    def __missing__(self, word: bytes) -> float:
+        s = self[word] = float(self.weights[grams(word)].mean())
+        return s
+
+
 class ToxicityModel:
     """weights: what each n-gram adds to the difference of the two logits; bias: theirs without words."""
 
     def __init__(self, weights: np.ndarray, bias: float):
-        self.weights, self.bias, self.known = weights, bias, {}
-
-    def _word(self, w: bytes) -> float:
-        s = self.known[w] = float(self.weights[grams(w)].mean())
-        return s
+        self.weights, self.bias, self.known = weights, bias, _Scores(weights)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if len(self.known) > CACHE:
-            self.known = {}
+            self.known.clear()
         out = np.full(len(texts), self.bias)
         for i, t in enumerate(texts):
             own = words(t)
-            for w in set(own) - self.known.keys():
-                self._word(w)
             if own:
                 out[i] += np.fromiter(map(self.known.__getitem__, own), np.float64, len(own)).mean()
         return 1 / (1 + np.exp(-np.clip(out, -50, 50)))
