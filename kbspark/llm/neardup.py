@@ -8,7 +8,8 @@ so that any two sets agree in a bucket with the probability of their Jaccard sim
 however small they are. Bands of ROWS registers propose candidates in three turns: every member
 of a bucket against the bucket's smallest id; where a bucket still holds several components, the
 members outside its main component against one member of that; and where it holds several
-even then, all pairs of members from different components, in bounded blocks. The estimate
+even then, all pairs of members from different components, in bounded blocks that confirm what
+they find themselves, so that no pairs are written. The estimate
 from the registers, corrected for chance collisions, sieves the candidates; whole sets of
 shingle hashes confirm them. The components of confirmed links are the groups.
 
@@ -35,7 +36,7 @@ from .graph import components
 
 REGISTERS, ROWS, MANTISSA = 128, 4, 10
 BUCKET_BITS = 7
-BLOCK = 512
+BLOCK = 256
 #: Words whose hash a worker keeps at once.
 CACHE = 500_000
 
@@ -182,14 +183,18 @@ class _Sets:
         new = stored(self.docs.join(ids.hint("merge"), "id", "left_semi").mapInArrow(run, "id bigint, hashes array<bigint>"), "sets")
         self.known = new if self.known is None else self.known.union(new)
 
-    def confirmed(self, pairs: DataFrame, per_cent: int) -> DataFrame:
-        """Of the pairs (a, b), those with 100 * intersection >= per_cent * union."""
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    def of(self, ids: DataFrame) -> DataFrame:
+        """(id, hashes) of all that are known, those of the ids among them."""
         if self.known is not None:
             ids = stored(ids.join(self.known.select("id"), "id", "left_anti"), "ids")
         if self.known is None or not ids.isEmpty():
             self._add(ids)
-        one = lambda x: self.known.select(F.col("id").alias(x), F.col("hashes").alias(f"s{x}"))
+        return self.known
+
+    def confirmed(self, pairs: DataFrame, per_cent: int) -> DataFrame:
+        """Of the pairs (a, b), those with 100 * intersection >= per_cent * union."""
+        known = self.of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        one = lambda x: known.select(F.col("id").alias(x), F.col("hashes").alias(f"s{x}"))
         joined = pairs.join(one("b").hint("merge"), "b").join(one("a").hint("merge"), "a")
         common = joined.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("n"))
         return common.where((F.col("n") * 100) >= (F.col("na") + F.col("nb") - F.col("n")) * per_cent).select("a", "b").distinct()
@@ -211,10 +216,12 @@ def _second(own: DataFrame, mixed: DataFrame) -> DataFrame:
     return outside.select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")).distinct()
 
 
-def _rest(own: DataFrame, mixed: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of one bucket but of different components: those outside a bucket's main
-    component against all its members, in blocks of about BLOCK rows on either side. A pair
-    that meets in several buckets counts in the first."""
+def _rest(own: DataFrame, mixed: DataFrame, reps: DataFrame, sets: _Sets, similarity: float, per_cent: int) -> DataFrame:
+    """Confirmed links (a, b) between members of one bucket but of different components: those
+    outside a bucket's main component against all its members, in blocks of about BLOCK rows on
+    either side. A pair that meets in several buckets counts in the first. A first pass over
+    the registers finds the rows of a block that have a likely partner; only these get
+    their sets, and a second pass confirms the pairs where they stand and gives a spanning forest of the links."""
     blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
     rows = own.join(mixed, ["band", "key"]).select("band", "key", "id", "label", (F.col("label") != F.col("main")).alias("minor"), blocks(F.col("n")).alias("nb"), blocks(F.col("n") - F.col("most")).alias("mb"))
     rows = stored(rows.join(reps.select("id", "n", "regs"), "id"), "rows")
@@ -224,31 +231,60 @@ def _rest(own: DataFrame, mixed: DataFrame, reps: DataFrame, similarity: float)
     right = rows.withColumn("j", block(2, F.col("nb"))).withColumn("i", every(F.col("mb"))).withColumn("side", F.lit(1))
     keys = ["band", "key", "i", "j"]
     cols = [*keys, "side", "id", "label", "n", "regs"]
-    dealt = left.select(cols).unionByName(right.select(cols)).repartition(partitions(own.sparkSession), *keys).sortWithinPartitions(*keys, "side")
     least = _sieve(similarity)
 
-    def compare(group: pa.Table) -> pa.RecordBatch:
-        at = int(np.searchsorted(group["side"].to_numpy(), 1))
-        band = group["band"][0].as_py()
-        ids, label, n, regs = (group["id"].to_numpy(), group["label"].to_numpy(), group["n"].to_numpy(), _regs(group["regs"]))
-        found = [np.zeros((2, 0), np.int64)]
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition(partitions(own.sparkSession), *keys).sortWithinPartitions(*keys, "side")
+
+    def likely(group: pa.Table):
+        """(row, rows of the other side) that may be linked and that meet here first."""
+        at, band = int(np.searchsorted(group["side"].to_numpy(), 1)), group["band"][0].as_py()
+        label, n, regs = group["label"].to_numpy(), group["n"].to_numpy(), _regs(group["regs"])
         for x in range(at):
-            y = np.arange(at, len(ids))
+            y = np.arange(at, len(n))
             y = y[(label[y] != label[x]) & (np.minimum(n[y], n[x]) >= similarity * np.maximum(n[y], n[x]) - 1e-6)]
             if len(y):
                 y = y[estimate(regs[x], regs[y]) >= least]
             if len(y):
                 shared = (regs[y] == regs[x]).reshape(len(y), -1, ROWS).all(2)
                 y = y[shared.argmax(1) == band]
-            found.append(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])]))
-        pairs = np.unique(np.concatenate(found, 1), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0].astype(np.int64)), pa.array(pairs[1].astype(np.int64))], ["a", "b"])
+            if len(y):
+                yield x, y
 
-    def run(batches):
+    def sieve(batches):
         for group in groups(batches, keys):
-            yield compare(group)
+            use = np.zeros(group.num_rows, bool)
+            for x, y in likely(group):
+                use[x] = use[y] = True
+            yield from group.filter(pa.array(use)).combine_chunks().to_batches()
 
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+    def confirm(batches):
+        for group in groups(batches, keys):
+            own_sets = [np.array(h, np.int64) for h in group["hashes"].to_pylist()]
+            ids, label = group["id"].to_numpy(), group["label"].to_numpy()
+            root = {int(v): int(v) for v in label}
+
+            def find(v: int) -> int:
+                while root[v] != v:
+                    root[v] = root[root[v]]
+                    v = root[v]
+                return v
+
+            found = []
+            for x, many in likely(group):
+                for y in many.tolist():
+                    a, b = find(int(label[x])), find(int(label[y]))
+                    if a != b:
+                        both = len(np.intersect1d(own_sets[x], own_sets[y], assume_unique=True))
+                        if both * 100 >= (len(own_sets[x]) + len(own_sets[y]) - both) * per_cent:
+                            root[a] = b
+                            found.append((int(ids[x]), int(ids[y])))
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
+
+    all_rows = left.select(cols).unionByName(right.select(cols))
+    active = stored(dealt(all_rows).mapInArrow(sieve, all_rows.schema), "active")
+    known = sets.of(active.select("id").distinct())
+    return dealt(active.join(known.hint("merge"), "id").select(*cols, "hashes")).mapInArrow(confirm, "a bigint, b bigint").distinct()
 
 
 def groups(batches, keys: list[str]):
@@ -291,10 +327,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str | Col
             pairs = multi.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
         else:
             own, mixed = _mixed(multi, labels)
-            pairs = _second(own, mixed) if turn == 1 else _rest(own, mixed, reps, similarity)
+            pairs = _second(own, mixed)
         if turn < 2:
-            pairs = _likely(stored(pairs, "pairs"), reps, similarity)
-        new = stored(sets.confirmed(stored(pairs, "likely"), per_cent), "links")
+            new = sets.confirmed(stored(_likely(stored(pairs, "pairs"), reps, similarity), "likely"), per_cent)
+        else:
+            new = _rest(own, mixed, reps, sets, similarity, per_cent)
+        new = stored(new, "links")
         links = new if links is None else links.union(new)
         labels = stored(components(links), "labels")
     out = member.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
