@@ -135,7 +135,8 @@ class Page:
                 self.chrome.append((first, end))
             if guard:
                 self.content.append((first, end))
-            self.subtrees.append((h, first, end, inside or guard))
+            if name in BLOCKS:  # a word in bold is no template
+                self.subtrees.append((h, first, end, inside or guard))
         return name
 
     def text(self, templates: frozenset[int] = frozenset()) -> str:
