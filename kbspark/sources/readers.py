@@ -56,8 +56,8 @@ def parse_docs(files: DataFrame, strict_first: bool = True) -> DataFrame:
     lines = F.split("value", "\r?\n")
     url = F.regexp_extract(F.element_at(lines, 1), source, 1) if strict_first else F.coalesce(F.element_at(F.filter(F.transform(lines, lambda x: F.regexp_extract(x, source, 1)), lambda x: x != ""), 1), F.lit(""))
     rest = F.filter(lines, lambda x: ~x.rlike(source))
-    h1 = F.try_element_at(F.filter(rest, lambda x: x.startswith("# ")), F.lit(1))
-    title = F.coalesce(F.trim(F.substring(h1, 3, 100000)), T.title_of(F.col("slug")))
+    h1 = F.nullif(F.trim(F.regexp_extract("value", r"(?m)^# (?!Source: )(.+)$", 1)), F.lit(""))
+    title = F.coalesce(h1, T.title_of(F.col("slug")))
     return files.select("slug", url.alias("source_url"), title.alias("title"), F.concat(title, F.lit("\n"), F.array_join(rest, "\n")).alias("text"))
 
 
