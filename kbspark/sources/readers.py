@@ -62,13 +62,13 @@ def parse_docs(files: DataFrame, strict_first: bool = True) -> DataFrame:
 
 
 def read_docs(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(path)
+    files = spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True)
     return parse_docs(files.select(_stem().alias("slug"), "value"))
 
 
 def read_scrape(spark: SparkSession, path: str) -> DataFrame:
     """(value): the objects of JSON files that hold an array or one object."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     items = F.when(F.trim("value").startswith("["), F.from_json("value", "array<string>")).otherwise(F.array("value"))
     return raw.select(F.explode(items).alias("value")).where(F.trim("value").startswith("{"))
 
