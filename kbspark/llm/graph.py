@@ -7,20 +7,22 @@ from pyspark.sql import DataFrame, functions as F
 from .common import stored
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node of the edges (a, b), a > b, has one smaller neighbour or none, and is no neighbour of larger ones if it has one."""
+    ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("low"), F.lit(0).alias("high")).union(edges.select("b", F.lit(0), F.lit(1)))
+    per = ends.groupBy("v").agg(F.sum("low").alias("low"), F.max("high").alias("high"))
+    return per.where("low + high > 1 and low > 0").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id in the edges (a, b): component is the smallest id reachable.
 
     Edges may repeat, point either way or be loops; ids that stand only in loops, and nulls, are left out.
-    Nothing is collected but a count and a checksum a round. The minima of a round are written
+    Nothing is collected but whether the edges are stars yet. The minima of a round are written
     before they are joined, so that Spark can split the rows of a node with very many neighbours.
     """
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
-    state = _state(now)
-    while state[0]:
+    while not _stars(now):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "cc")
         # large star: every larger neighbour is linked with the smallest one
@@ -29,7 +31,16 @@ def components(edges: DataFrame) -> DataFrame:
         least = stored(large.groupBy("a").agg(F.min("b").alias("m")), "cc")
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = stored(small.union(least).distinct(), "cc")
-        before, state = state, _state(now)
-        if state == before:
-            break
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+
+
+def extended(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """The labels (id, component) of some edges, with further edges (a, b) added: only those between components count."""
+    one = lambda x: labels.select(F.col("id").alias(x), F.col("component").alias(f"c{x}"))
+    between = edges.join(one("a"), "a", "left").join(one("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    between = stored(between.where("a <> b").distinct(), "between")
+    if between.isEmpty():
+        return labels
+    moved = stored(components(between), "moved")
+    own = labels.join(moved.select(F.col("id").alias("component"), F.col("component").alias("c")), "component", "left")
+    return stored(own.select("id", F.coalesce("c", "component").alias("component")).union(moved).distinct(), "labels")

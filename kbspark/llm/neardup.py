@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import column, mix, partitions, slices, stored
-from .graph import components
+from .graph import components, extended
 
 REGISTERS, ROWS, MANTISSA = 128, 4, 10
 BUCKET_BITS = 7
@@ -321,7 +321,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str | Col
     leaders = stored(bands.groupBy("band", "key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1"), "leaders")
     multi = stored(bands.join(leaders, ["band", "key"]).select("band", "key", "id", "leader"), "multi")
     sets = _Sets(docs, words)
-    links = None
+    labels = None
     for turn in range(3):
         if turn == 0:
             pairs = multi.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
@@ -333,8 +333,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str | Col
         else:
             new = _rest(own, mixed, reps, sets, similarity, per_cent)
         new = stored(new, "links")
-        links = new if links is None else links.union(new)
-        labels = stored(components(links), "labels")
+        labels = stored(components(new), "labels") if labels is None else extended(labels, new)
     out = member.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.coalesce("component", "rep")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept"))

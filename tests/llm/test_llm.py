@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kbspark.llm import bpe, embed, exact, html, licenses, neardup, packing, sharding, toxicity, warc
+from kbspark.llm import bpe, embed, exact, graph, html, licenses, neardup, packing, sharding, toxicity, warc
 
 P = pytest.importorskip("public_tokenizers")
 DOCS = "doc_id bigint, text string, keep_id string, score string, sequence_id string"
@@ -275,3 +275,18 @@ def test_empty_tables(spark):
     pages = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert html.main_text(pages).count() == warc.round_trip(pages).count() == 0
     assert embed.near_vectors(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
+
+
+def test_components(spark):
+    rng = random.Random(11)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 440)] + [(500, i) for i in range(501, 520)]
+    frame = lambda e: spark.createDataFrame(e, "a bigint, b bigint")
+    ids = sorted({v for e in edges for v in e if e[0] != e[1]})
+    known = set(edges) | {(b, a) for a, b in edges}
+    want = brute_components(ids, lambda i, j: (i, j) in known)
+    assert {r["id"]: r["component"] for r in graph.components(frame(edges)).collect()} == want
+    labels = graph.components(frame(edges[:100]))
+    for part in (edges[100:250], edges[:50], edges[250:]):
+        labels = graph.extended(labels, frame(part))
+    rows = labels.collect()
+    assert len(rows) == len(want) and {r["id"]: r["component"] for r in rows} == want
