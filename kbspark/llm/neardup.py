@@ -329,11 +329,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str | Col
             own, mixed = _mixed(multi, labels)
             pairs = _second(own, mixed)
         if turn < 2:
-            new = sets.confirmed(stored(_likely(stored(pairs, "pairs"), reps, similarity), "likely"), per_cent)
+            new = sets.confirmed(stored(_likely(pairs, reps, similarity), "likely"), per_cent)
         else:
             new = _rest(own, mixed, reps, sets, similarity, per_cent)
         new = stored(new, "links")
-        labels = stored(components(new), "labels") if labels is None else extended(labels, new)
+        labels = components(new) if labels is None else extended(labels, new)
     out = member.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.coalesce("component", "rep")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
