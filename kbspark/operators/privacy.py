@@ -29,6 +29,8 @@ ALIASES = {
 THREAD_KEYS = ["id", "source", "group", "group_url", "url", "posted_at", "text", "reactions_count", "comment_count", "comments"]
 COMMENT_KEYS = ["pseudonym", "text", "posted_at"]
 NAME_KEYS = frozenset("name fullName displayName profileName userName username screenName handle author authorName postAuthor postAuthorName commentAuthor commentAuthorName from actor createdBy postedBy user owner commentAuthorUsername".split())
+#: Names without a longer ASCII run are looked up by so many characters of other runs.
+KEY = 4
 PSEUDONYM = r"^member-[0-9a-f]{8}$"
 PERMALINK = r"^https://(?:www\.|m\.|web\.|mobile\.|business\.)?facebook\.com/"
 
@@ -86,13 +88,18 @@ def name_in(name: Column, text: Column) -> Column:
 def name_leaks(texts: DataFrame, roster: DataFrame, text: str = "text", name: str = "name") -> DataFrame:
     """Rows of texts with each roster name that stands in them.
 
-    Names are matched by their first token: texts and names meet in an equi join on it, and
-    the whole name is checked only there. So nothing is compared all against all, and no
-    side needs to be small.
+    Texts and names meet in an equi join on a key of the name, and the whole name is checked
+    only there. So nothing is compared all against all, and no side needs to be small. A key is
+    a whole run of ASCII letters and digits, or up to KEY characters of a run of others, such as
+    an accented letter behind a quote: wherever name_in finds the name, the text has these too.
     """
-    first = lambda c: F.regexp_extract(T.norm(c), "[a-z0-9]+|[^a-z0-9\\s]+", 0)
-    names = roster.where(name_like(F.col(name))).select(F.col(name).alias("name"), first(F.col(name)).alias("_k")).distinct()
-    words = texts.select("*", F.explode(F.array_distinct(F.regexp_extract_all(T.norm(F.col(text)), F.lit("[a-z0-9]+|[^a-z0-9\\s]+"), 0))).alias("_k"))
+    plain = lambda c: F.regexp_extract_all(T.norm(c), F.lit("[a-z0-9]+"), 0)
+    other = lambda c: F.regexp_extract_all(T.norm(c), F.lit("[^a-z0-9\\s]+"), 0)
+    parts = F.concat(plain(F.col(name)), F.transform(other(F.col(name)), lambda r: F.substring(r, 1, KEY)))
+    longest = F.array_max(F.transform(parts, lambda r: F.struct(F.length(r).alias("n"), r.alias("k"))))["k"]
+    grams = lambda r: F.flatten(F.transform(F.sequence(F.lit(1), F.length(r)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(KEY), F.length(r) - i + 1)), lambda n: F.substring(r, i, n))))
+    names = roster.where(name_like(F.col(name))).select(F.col(name).alias("name"), longest.alias("_k")).distinct()
+    words = texts.select("*", F.explode(F.array_distinct(F.concat(plain(F.col(text)), F.flatten(F.transform(F.array_distinct(other(F.col(text))), grams))))).alias("_k"))
     return words.join(names, "_k").where(name_in(F.col("name"), F.col(text))).drop("_k")
 
 

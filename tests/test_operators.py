@@ -98,6 +98,16 @@ def test_names(spark):
     assert sorted(r["value"] for r in got.collect()) == ["A B", "D", "c"]
 
 
+def test_name_leaks_behind_punctuation(spark):
+    names = ["Étou Ka", "Élodie", "Ärzte Ö", "Иван Ли", "Ann Lee", "Zoé", "日本人"]
+    texts = ['said "étou ka"', "l'amie d'Élodie.", "(ärzte ö)", "«иван ли»", "xИван Ли", '"Ann  LEE"', "by zoé!", "annlee joann lee", "新日本人民", "", None, "éÉlodie"]
+    df, roster = spark.createDataFrame(list(enumerate(texts)), "id int, text string"), spark.createDataFrame([(n,) for n in names], "name string")
+    got = {(r["id"], r["name"]) for r in privacy.name_leaks(df, roster).collect()}
+    want = df.crossJoin(roster).where(privacy.name_in(F.col("name"), F.col("text"))).collect()
+    assert got == {(r["id"], r["name"]) for r in want}
+    assert {(0, "Étou Ka"), (1, "Élodie"), (2, "Ärzte Ö"), (3, "Иван Ли"), (5, "Ann Lee"), (8, "日本人")} <= got
+
+
 def test_markdown():
     html = '<nav>x</nav><h1>T<a class="headerlink" href="#">#</a></h1><p>a &amp; <b>b</b></p><ul><li>one</li><li>two</li></ul><hr><script>var t="</p>";</script>'
     assert pages.to_markdown(html) == "# T\na &  b\n- one\n- two\n---"
