@@ -317,13 +317,56 @@ NORM_SQL = r"lower(trim(regexp_replace({c}, '\s+', ' ', 'g')))"
 
 
 def quote_places(spark, d, of: Column) -> DataFrame:
-    """(item_id, quote, doc_id, text): candidates by the quote's second to fourth word, so that nothing is crossed."""
-    words = F.filter(F.split(T.norm(F.col("text")), " "), lambda w: w != "")
-    cut = lambda df: df.withColumn("w", words)  # noqa: E731 - a column of its own, so that lambdas don't split again
-    q = cut(t(spark, d, "benchmark")).select("item_id", F.col("text").alias("quote"), F.xxhash64(F.slice("w", 2, 3)).alias("k"))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, 3)))
-    docs = cut(t(spark, d, "documents")).select("doc_id", "text", F.explode(F.array_distinct(runs)).alias("k"))
-    return docs.join(q, "k").where(of)
+    """(item_id, quote, doc_id, text), see quoted_pairs."""
+    q = t(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
+    return quoted_pairs(t(spark, d, "documents").select("doc_id", "text"), q, of)
+
+
+def quoted_pairs(docs: DataFrame, quotes: DataFrame, of: Column) -> DataFrame:
+    """Pairs of docs (with text) and quotes (with quote) for which `of` holds, which implies T.quoted_in; nothing is crossed.
+
+    Candidates are looked up by what stands whole in the text wherever the quote does: its second
+    to fourth word, fewer in quotes of three or four words; of two words the last and first three
+    characters at most, of one word its first four. Quotes and texts have such keys with and
+    without link destinations. Texts get only the kinds of keys that some quote needs.
+    """
+    split = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+    both = lambda df, c: df.withColumns({"w": split(T.norm(F.col(c))), "v": split(T.norm_quote(F.col(c)))})  # noqa: E731 - columns of their own, so that lambdas don't split again
+    kind = lambda w: F.when(w.isNotNull(), F.least(F.size(w), F.lit(5)))
+    ends = lambda x, y, i, j: F.xxhash64(F.concat(F.substring(x, F.greatest(F.length(x) - i + 1, F.lit(1)), i), F.lit(" "), F.substring(y, F.lit(1), j)))
+
+    def own(w: Column) -> Column:
+        word = lambda i: F.get(w, F.lit(i))
+        out = F.when(kind(w) == 1, F.xxhash64(F.substring(word(0), 1, 4)))
+        out = out.when(kind(w) == 2, ends(word(0), word(1), F.lit(3), F.lit(3)))
+        return out.when(kind(w) > 2, F.xxhash64(F.slice(w, F.lit(2), F.greatest(kind(w) - 2, F.lit(1)))))
+
+    def offered(w: Column, kinds: list[int]) -> Column:
+        parts = [F.array().cast("array<bigint>")]
+        for n in kinds:
+            if n == 1:
+                parts.append(F.flatten(F.transform(F.array_distinct(w), lambda x: F.flatten(F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(4), F.length(x) - i + 1)), lambda j: F.xxhash64(F.substring(x, i, j))))))))
+            elif n == 2:
+                sizes = [(i, j) for i in (1, 2, 3) for j in (1, 2, 3)]
+                parts.append(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 1, F.lit(1))), lambda i: F.array(*[ends(F.get(w, i - 1), F.get(w, i), F.lit(a), F.lit(b)) for a, b in sizes]))))
+            elif n > 2:
+                long = n - 2
+                parts.append(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - long + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, long))))
+        return F.array_distinct(F.concat(*parts))
+
+    form = lambda plain, bare: F.array(F.struct(F.lit(False).alias("bare"), plain.alias("k")), F.struct(F.lit(True).alias("bare"), bare.alias("k")))
+    w, v = F.col("w"), F.col("v")
+    q = both(quotes, "quote")
+    found = q.select(kind(w).alias("a"), kind(v).alias("b"), (w != v).alias("linked")).distinct().collect()  # of fixed size
+    plain, bare, linked = sorted({r["a"] for r in found if r["a"]}), sorted({r["b"] for r in found if r["b"]}), any(r["linked"] for r in found)
+    q = q.select(*quotes.columns, F.inline(form(own(w), own(v)))).where("k is not null")
+    rows = both(docs, "text").where("text is not null")
+    without = F.when(F.lit(linked) | (w != v), offered(v, bare)).otherwise(F.array().cast("array<bigint>"))
+    keys = F.concat(F.transform(offered(w, plain), lambda k: F.struct(F.lit(False).alias("bare"), k.alias("k"))), F.transform(without, lambda k: F.struct(F.lit(True).alias("bare"), k.alias("k"))))
+    rows = rows.select(*docs.columns, F.inline(keys))
+    # a pair that stands word for word is taken from that key alone, so that it comes once
+    word_for_word = F.contains(T.norm(F.col("text")), T.norm(F.col("quote")))
+    return rows.join(q, ["bare", "k"]).where(of & (word_for_word != F.col("bare"))).drop("bare", "k")
 
 
 @query(f"select item_id, count(doc_id) as n_docs, min(doc_id) as first_doc from benchmark b left join documents d on contains({NORM_SQL.format(c='d.text')}, {NORM_SQL.format(c='b.text')}) group by item_id")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from kbspark.functions import records as R, tags as G, text as T
 from kbspark.operators import distill, pages, privacy, search, threads, validate
+from kbspark.plans import registry
 from kbspark.sources import readers, sinks
 
 
@@ -108,6 +109,17 @@ def test_name_leaks_behind_punctuation(spark):
     assert {(0, "Étou Ka"), (1, "Élodie"), (2, "Ärzte Ö"), (3, "Иван Ли"), (5, "Ann Lee"), (8, "日本人")} <= got
 
 
+def test_quotes_of_any_length(spark):
+    quotes = ["ox", "jump", "wn fo", "k b", "ck brown f", "ick brown fox ju", "ck brown fox jumps ov", "see [docs](x) now", "the [docs](a) are [here](b) for all", "q", " ", None, "fox jumps over the lazy dog"]
+    texts = ["The quick  brown fox jumps over the lazy dog", "please see [docs](https://y/z) now", "the [docs](https://y/z) are [here](w) for all", "the [docs] are [here] for all to see [docs] now", "", None, "fox", "The quick  brown fox jumps over the lazy dog"]
+    df, q = spark.createDataFrame(list(enumerate(texts)), "id int, text string"), spark.createDataFrame(list(enumerate(quotes)), "n int, quote string")
+    of = T.quoted_in(F.col("quote"), F.col("text"))
+    got = sorted((r["id"], r["n"]) for r in registry.quoted_pairs(df, q, of).collect())
+    assert got == sorted((r["id"], r["n"]) for r in df.crossJoin(q).where(of).collect())
+    assert {(0, n) for n in range(7)} | {(1, 7), (3, 7), (2, 8), (3, 8)} <= set(got)
+    assert all(r == (6, 0) for r in got if r[0] == 6)
+
+
 def test_markdown():
     html = '<nav>x</nav><h1>T<a class="headerlink" href="#">#</a></h1><p>a &amp; <b>b</b></p><ul><li>one</li><li>two</li></ul><hr><script>var t="</p>";</script>'
     assert pages.to_markdown(html) == "# T\na &  b\n- one\n- two\n---"
