@@ -489,8 +489,7 @@ def url_host(spark, d):
     select doc_id, string_agg(html, chr(10) order by pos) as html from h where doc_id in (select doc_id from documents where not regexp_matches(coalesce(text, ''), '(^|\n)\s*(#{1,6} |[-*] |\d+\. |-{3,}|\*{3,})')) group by doc_id"""
 )
 def markdown_to_html(spark, d):
-    docs = t(spark, d, "documents").where(~F.coalesce("text", F.lit("")).rlike(r"(^|\n)\s*(#{1,6} |[-*] |\d+\. |-{3,}|\*{3,})"))
-    return P.to_html(docs.select("doc_id", "text"), "doc_id", "text")
+    return P.to_html(t(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
 # ---- incremental and streaming

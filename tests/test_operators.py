@@ -2,6 +2,7 @@ import hashlib
 import hmac
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -130,6 +131,37 @@ def test_markdown_to_html(spark):
     assert pages.to_html(df, "k", "md").first()["html"] == "<h1>T</h1>\n<ul><li>a</li>\n<li><strong>b</strong></li></ul>\n<p>text &lt;x&gt;</p>"
 
 
+def test_markdown_query_takes_all_documents(spark, tmp_path):
+    rng = random.Random(7)
+    kinds = ["# a & b", "### c", "- one", "* **two**", "3. three", "---", "****", "plain `x<y`", "", "  - in", "-none", "#none", "*em* end"]
+    docs = ["\n".join(rng.choice(kinds) for _ in range(rng.randint(1, 12))) for _ in range(60)] + ["- item", "# title", "text"]
+
+    def inline(s):
+        for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+            s = s.replace(a, b)
+        s = re.sub(r"`([^`]+)`", r"<code>\1</code>", s)
+        return re.sub(r"\*([^*]+)\*", r"<em>\1</em>", re.sub(r"\*\*([^*]+)\*\*", r"<strong>\1</strong>", s))
+
+    def loop(text):
+        out, inside = [], False
+        for line in filter(None, (x.strip(" ") for x in text.split("\n"))):
+            item, head = re.match(r"(?:[-*]|\d+\.) +(.*)", line), re.match(r"(#{1,6}) +(.*)", line)
+            if inside and not item:
+                out[-1] += "</ul>"
+            if item:
+                out.append(("" if inside else "<ul>") + f"<li>{inline(item[1])}</li>")
+            elif head:
+                out.append(f"<h{len(head[1])}>{inline(head[2])}</h{len(head[1])}>")
+            else:
+                out.append("<hr>" if re.fullmatch(r"-{3,}|\*{3,}", line) else f"<p>{inline(line)}</p>")
+            inside = bool(item)
+        return "\n".join(out) + ("</ul>" if inside else "")
+
+    spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["html"] for r in registry.QUERIES["markdown_to_html"](spark, str(tmp_path)).collect()}
+    assert got == {i: loop(x) for i, x in enumerate(docs) if x.strip()}
+
+
 def test_docs_and_corrupt_files(spark, tmp_path):
     (tmp_path / "my-doc.md").write_text("# Source: <https://x.y/z>\n\n# Hello\nbody\n")
     r = readers.read_docs(spark, str(tmp_path)).first()
