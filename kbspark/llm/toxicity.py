@@ -26,6 +26,8 @@ BUCKETS, DIMS, SCALE = 1 << 17, 2, 30.0
 SAMPLE = 5000
 GRAMS = range(3, 7)
 CACHE = 500_000
+#: Longer words (bytes) aren't remembered; in scripts without blanks a whole text is one word.
+LONG = 256
 #: ASCII letters in lower case, digits as they are, other ASCII as blanks.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 
@@ -35,7 +37,7 @@ def words(text: str | None) -> list[bytes]:
 
 
 def grams(word: bytes) -> list[int]:
-    w = "<" + word.decode("utf-8", "ignore")[:64] + ">"
+    w = "<" + word.decode("utf-8", "ignore") + ">"
     out = [zlib.crc32(w.encode()) % BUCKETS]
     for n in GRAMS:
         out += [zlib.crc32(w[i : i + n].encode()) % BUCKETS for i in range(len(w) - n + 1) if n < len(w)]
@@ -82,7 +84,9 @@ class _Scores(dict):
         self.weights = weights
 
     def __missing__(self, word: bytes) -> float:
-        s = self[word] = float(self.weights[grams(word)].mean())
+        s = float(self.weights[grams(word)].mean())
+        if len(word) <= LONG:
+            self[word] = s
         return s
 
 

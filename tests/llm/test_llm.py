@@ -244,6 +244,16 @@ def test_toxicity_learns_stems(spark):
     assert all(r["predicted"] == 0 for r in none)
 
 
+def test_toxicity_reads_long_words():
+    """A passage behind the first 64 characters of a text without blanks counts as one before them."""
+    weights = np.zeros(toxicity.BUCKETS, np.float32)
+    weights[zlib.crc32("混账东西".encode()) % toxicity.BUCKETS] = 500
+    model = toxicity.ToxicityModel(weights, 0.0)
+    clean, early, late = model.score(["天" * 204, "天" * 20 + "混账东西" + "天" * 180, "天" * 180 + "混账东西" + "天" * 20])
+    assert early == late > clean + 0.1
+    assert not model.known  # too long to be remembered
+
+
 def test_licenses(spark):
     ts = ["x All rights\nreserved. CC BY-NC 4.0!", "Licensed under the Apache License, Version 2.0.", "licensed under the terms of the Apache License 2.0", "licensed under the Apache Software License 2.0", None, "", "all rights reserved all rights reserved", "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."]
     got = {r["doc_id"]: r for r in licenses.scan_licenses(docs(spark, ts)).collect()}
