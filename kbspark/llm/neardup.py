@@ -19,7 +19,10 @@ sieve stands 4.5 standard deviations below the threshold (a miss in 300,000 at t
 Cases: null and blank texts have an empty set and link with nothing; fewer words than a
 shingle make one shingle; texts with equal sets are collapsed to a class before banding, so
 copies cost nothing there; repeated rows give repeated results; extra columns are ignored;
-an empty table gives an empty table. Rows without an id take part as one class under null.
+an empty table gives an empty table. Classes have numbers of their own, so that an id that stands on
+several texts, or none at all, loses nothing: rows without an id take part by their text, and
+component_id is null where no row of a component has an id; kept is true where the id equals the component's,
+two nulls being equal.
 """
 
 from __future__ import annotations
@@ -36,28 +39,38 @@ from .graph import components, extended
 
 REGISTERS, ROWS, MANTISSA = 128, 4, 10
 BUCKET_BITS = 7
-BLOCK = 256
-#: Words whose hash a worker keeps at once.
-CACHE = 500_000
+#: A block of a bucket has about so many rows, and so many shingle hashes (or one row) on either side.
+BLOCK, BLOCK_HASHES = 256, 1 << 19
+#: Bytes of the words whose hashes a task remembers, about.
+CACHE = 24 << 20
+#: Longer words (bytes) aren't remembered.
+LONG = 64
 
 
 class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+    """Hashes of words; a task has one, and it goes with the task."""
 
+    def __init__(self):
+        self.bytes = 0
 
-_words = _Words()
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONG:
+            self[word] = h
+            self.bytes += 150 + len(word)
+        return h
 
 
-def shingles(texts: list[str | None], k: int) -> list[np.ndarray]:
+def shingles(texts: list[str | None], k: int, known: _Words | None = None) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's shingles of k words."""
-    if len(_words) > CACHE:
-        _words.clear()
+    known = _Words() if known is None else known
     out = []
     for t in texts:
+        if known.bytes > CACHE:
+            known.clear()
+            known.bytes = 0
         own = (t or "").encode().lower().split()  # bytes: A-Z and ASCII white space only
-        h = np.fromiter(map(_words.__getitem__, own), np.uint64, len(own))
+        h = np.fromiter(map(known.__getitem__, own), np.uint64, len(own))
         width = min(k, len(h))
         if not width:
             out.append(h)
@@ -115,21 +128,23 @@ def _regs(col: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), "<u2").reshape(-1, REGISTERS)
 
 
+def _set_key(hashes: np.ndarray) -> bytes:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+
+
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """(id, n, set_key, regs); key and registers are null for empty sets."""
+    """(id, mark, n, set_key, regs) of (id, mark, text); key and registers are null for empty sets."""
 
     def run(batches):
+        known = _Words()
         for batch in slices(batches, "text"):
-            sets = shingles(column(batch, "text").to_pylist(), k)
-            full = [s for s in sets if len(s)]
-            regs = iter(registers(full))
-            rows = [(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), next(regs).astype("<u2").tobytes()) if len(s) else (None, None) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [column(batch, "id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())],
-                ["id", "n", "set_key", "regs"],
-            )
+            sets = shingles(column(batch, "text").to_pylist(), k, known)
+            regs = iter(registers([s for s in sets if len(s)]))
+            rows = [(_set_key(s), next(regs).astype("<u2").tobytes()) if len(s) else (None, None) for s in sets]
+            cols = [pa.array([len(s) for s in sets], pa.int64()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())]
+            yield pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "mark"), *cols], ["id", "mark", "n", "set_key", "regs"])
 
-    return docs.mapInArrow(run, "id bigint, n bigint, set_key binary, regs binary")
+    return docs.select("id", "mark", "text").mapInArrow(run, "id bigint, mark bigint, n bigint, set_key binary, regs binary")
 
 
 def _bands(reps: DataFrame) -> DataFrame:
@@ -166,21 +181,33 @@ def _likely(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
 
 
 class _Sets:
-    """Whole shingle sets of the documents that candidates name, each computed once."""
+    """Whole shingle sets of the classes that candidates name, each computed once, from the row that stands for the class.
 
-    def __init__(self, docs: DataFrame, k: int):
-        self.docs, self.k, self.known = docs, k, None
+    docs: id, mark, text; where: id (the class), low (its row's id), mark, set_key.
+    """
+
+    def __init__(self, docs: DataFrame, where: DataFrame, k: int):
+        self.docs, self.where, self.k, self.known = docs, where, k, None
 
     def _add(self, ids: DataFrame) -> None:
         k = self.k
 
         def run(batches):
+            known, done = _Words(), set()  # done: classes, so that repeated rows count once
             for batch in slices(batches, "text"):
-                sets = shingles(column(batch, "text").to_pylist(), k)
-                yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "hashes"])
-
-        # shuffled at every size: the ids grow with the documents
-        new = stored(self.docs.join(ids.hint("merge"), "id", "left_semi").mapInArrow(run, "id bigint, hashes array<bigint>"), "sets")
+                classes, keys = column(batch, "rep").to_pylist(), column(batch, "set_key").to_pylist()
+                sets = shingles(column(batch, "text").to_pylist(), k, known)
+                own = []
+                for i, (c, key, s) in enumerate(zip(classes, keys, sets)):
+                    if c not in done and _set_key(s) == key:
+                        done.add(c)
+                        own.append(i)
+                yield pa.RecordBatch.from_arrays([pa.array([classes[i] for i in own], pa.int64()), pa.array([sets[i].view(np.int64) for i in own], pa.list_(pa.int64()))], ["id", "hashes"])
+
+        wanted = self.where.join(ids, "id", "left_semi").select(F.col("id").alias("rep"), "low", F.col("mark").alias("row_mark"), "set_key")
+        # shuffled at every size: the classes grow with the documents
+        same = F.col("id").eqNullSafe(F.col("low")) & (F.col("mark") == F.col("row_mark"))
+        new = stored(self.docs.join(wanted.hint("merge"), same).select("rep", "set_key", "text").mapInArrow(run, "id bigint, hashes array<bigint>"), "sets")
         self.known = new if self.known is None else self.known.union(new)
 
     def of(self, ids: DataFrame) -> DataFrame:
@@ -202,12 +229,12 @@ class _Sets:
 
 def _mixed(multi: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Bucket members (band, key, id, label), and the buckets of more than two that hold several
-    components: (band, key, n, most, main, head), with the main component, its size and one of its members."""
+    components: (band, key, main, head), with the main component and one of its members."""
     own = stored(multi.join(labels.withColumnRenamed("component", "label"), "id", "left").select("band", "key", "id", F.coalesce("label", "id").alias("label")), "own")
     per = own.groupBy("band", "key", "label").agg(F.count("*").alias("n"), F.max(F.struct(F.xxhash64("id", "band"), "id")).alias("head"))
     main = F.max(F.struct("n", "label", "head"))
     buckets = per.groupBy("band", "key").agg(F.sum("n").alias("n"), F.count("*").alias("labels"), main.alias("m")).where("labels > 1 and n > 2")
-    return own, stored(buckets.select("band", "key", "n", F.col("m.n").alias("most"), F.col("m.label").alias("main"), F.col("m.head.id").alias("head")), "mixed")
+    return own, stored(buckets.select("band", "key", F.col("m.label").alias("main"), F.col("m.head.id").alias("head")), "mixed")
 
 
 def _second(own: DataFrame, mixed: DataFrame) -> DataFrame:
@@ -218,13 +245,15 @@ def _second(own: DataFrame, mixed: DataFrame) -> DataFrame:
 
 def _rest(own: DataFrame, mixed: DataFrame, reps: DataFrame, sets: _Sets, similarity: float, per_cent: int) -> DataFrame:
     """Confirmed links (a, b) between members of one bucket but of different components: those
-    outside a bucket's main component against all its members, in blocks of about BLOCK rows on
-    either side. A pair that meets in several buckets counts in the first. A first pass over
+    outside a bucket's main component against all its members, in blocks of about BLOCK rows or
+    BLOCK_HASHES shingles on either side. A pair that meets in several buckets counts in the first. A first pass over
     the registers finds the rows of a block that have a likely partner; only these get
     their sets, and a second pass confirms the pairs where they stand and gives a spanning forest of the links."""
-    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-    rows = own.join(mixed, ["band", "key"]).select("band", "key", "id", "label", (F.col("label") != F.col("main")).alias("minor"), blocks(F.col("n")).alias("nb"), blocks(F.col("n") - F.col("most")).alias("mb"))
+    rows = own.join(mixed.select("band", "key", "main"), ["band", "key"]).select("band", "key", "id", "label", (F.col("label") != F.col("main")).alias("minor"))
     rows = stored(rows.join(reps.select("id", "n", "regs"), "id"), "rows")
+    blocks = lambda of: F.greatest(F.ceil(F.count_if(of) / F.lit(BLOCK)), F.ceil(F.sum(F.when(of, F.col("n"))) / F.lit(BLOCK_HASHES))).cast("int")
+    sizes = stored(rows.groupBy("band", "key").agg(blocks(F.lit(True)).alias("nb"), blocks(F.col("minor")).alias("mb")), "sizes")
+    rows = rows.join(sizes, ["band", "key"])
     block = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     left = rows.where("minor").withColumn("i", block(1, F.col("mb"))).withColumn("j", every(F.col("nb"))).withColumn("side", F.lit(0))
@@ -260,7 +289,10 @@ def _rest(own: DataFrame, mixed: DataFrame, reps: DataFrame, sets: _Sets, simila
 
     def confirm(batches):
         for group in groups(batches, keys):
-            own_sets = [np.array(h, np.int64) for h in group["hashes"].to_pylist()]
+            lists = group["hashes"].combine_chunks()
+            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+            cuts, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            own_sets = [flat[a:b] for a, b in zip(cuts, cuts[1:])]
             ids, label = group["id"].to_numpy(), group["label"].to_numpy()
             root = {int(v): int(v) for v in label}
 
@@ -311,16 +343,18 @@ def groups(batches, keys: list[str]):
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str | Column = "text", words: int = 5, per_cent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of docs."""
     similarity = per_cent / 100
-    docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
     sigs = stored(signatures(docs, words), "sigs")
-    classes = stored(sigs.where("set_key is not null").groupBy("set_key").agg(F.min("id").alias("rep")), "classes")
-    member = stored(sigs.select("id", "n", "set_key").join(classes, "set_key", "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "member")
-    reps = stored(sigs.join(classes.select("set_key", F.col("rep").alias("id")), ["set_key", "id"], "left_semi").select("id", "n", "regs").dropDuplicates(["id"]), "reps")
+    # a class is stood for by the row with the smallest id (rows without one last); its number is fixed by writing it
+    row = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("row")
+    classes = sigs.where("set_key is not null").groupBy("set_key").agg(row, F.first("n").alias("n"), F.first("regs").alias("regs"))
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("id"), F.col("row.id").alias("low"), F.col("row.mark").alias("mark"), "set_key", "n", "regs"), "classes")
+    reps = classes.select("id", "n", "regs")
 
     bands = stored(_bands(reps), "bands")
     leaders = stored(bands.groupBy("band", "key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1"), "leaders")
     multi = stored(bands.join(leaders, ["band", "key"]).select("band", "key", "id", "leader"), "multi")
-    sets = _Sets(docs, words)
+    sets = _Sets(docs, classes.select("id", "low", "mark", "set_key"), words)
     labels = None
     for turn in range(3):
         if turn == 0:
@@ -334,6 +368,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str | Col
             new = _rest(own, mixed, reps, sets, similarity, per_cent)
         new = stored(new, "links")
         labels = stored(components(new), "labels") if labels is None else extended(labels, new)
-    out = member.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    component = F.coalesce("component", "rep")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    linked = stored(labels.join(classes.select("id", "low"), "id"), "linked")
+    least = stored(linked.groupBy("component").agg(F.min("low").alias("least")), "least")
+    per = linked.join(least, "component").select("id", "least")
+    per = stored(classes.select("id", "set_key", "low").join(per, "id", "left").select("set_key", F.coalesce("least", "low").alias("component_id")), "components")
+    out = sigs.select("id", "n", "set_key").join(per, "set_key", "left")
+    component = F.when(F.col("set_key").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
