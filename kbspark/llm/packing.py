@@ -29,7 +29,8 @@ from .common import column, ragged, slices, stored
 OPEN = 512
 #: Pieces per packer, on average.
 SHARE = 60_000
-CACHE = 1_000_000
+#: Runs whose ids a worker keeps at once.
+CACHE = 400_000
 
 
 #: Runs between ASCII white space; one that ends in a letter or digit of ASCII and punctuation is cut between them, as the tokenizer cuts it.
@@ -49,11 +50,14 @@ class _Numbers(dict):
 
 
 class WordTokens:
-    """Ids of texts by a tokenizer of lower case that never lets a token cross ASCII white space: what a run of other characters gives is kept."""
+    """Ids of texts by a tokenizer of lower case that never lets a token cross ASCII white space: what a run of other characters gives is kept.
+
+    Texts with one of the tokenizer's markers, which it takes for tokens of their own, go to it as they are.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.markers = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.forget()
 
     def forget(self) -> None:
@@ -64,7 +68,8 @@ class WordTokens:
         if len(self.runs) > CACHE:
             self.forget()
         number = self.runs.__getitem__
-        rows = [np.array(list(map(number, _RUN.findall((t or "").encode().lower()))), np.int64) for t in texts]
+        marked = {i: self.tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts) if t and any(m in t for m in self.markers)}
+        rows = [np.array([] if i in marked else list(map(number, _RUN.findall((t or "").encode().lower()))), np.int64) for i, t in enumerate(texts)]
         new, self.runs.new = self.runs.new, []
         ids, lens = [self.ids], [self.lens]
         for a in range(0, len(new), 20_000):
@@ -75,7 +80,7 @@ class WordTokens:
             lens.append(np.bincount(np.array(got.word_ids, np.int64), minlength=len(part)))
         self.ids, self.lens = np.concatenate(ids), np.concatenate(lens)
         self.starts = np.cumsum(self.lens) - self.lens
-        return [self.ids[ragged(self.starts[at], self.lens[at])] for at in rows]
+        return [np.array(marked[i], np.uint32) if i in marked else self.ids[ragged(self.starts[at], self.lens[at])] for i, at in enumerate(rows)]
 
 
 @functools.lru_cache(maxsize=1)
