@@ -7,8 +7,9 @@
 
 Each function takes (spark, docs, sf_dir) and gives a DataFrame; run() writes each one's
 result as Parquet in the shared folder and reads it again for the next. All but the last give the
-columns of documents. Rows are joined to decisions by doc_id; a doc_id that repeats is kept or
-dropped as one.
+columns of documents, whatever they are called. Rows are joined to decisions by doc_id; a doc_id that repeats is kept or
+dropped as one, and so are the rows without one: they stay as long as one of them does.
+Null and empty texts are documents like others: clean, equal to one another, and packed as a separator alone.
 """
 
 from __future__ import annotations
@@ -27,7 +28,11 @@ def _kept(docs: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs.select(F.col("doc_id").cast("bigint").alias("id"), "text"), table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model, docs.columns).where("score < 0.5").select(docs.columns)
+    name = "_toxicity"
+    while name in docs.columns:
+        name += "_"
+    own = docs.withColumn("text", F.col("text").cast("string"))
+    return toxicity.scored(own, model, docs.columns, name).where(F.col(name) < 0.5).select(docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
