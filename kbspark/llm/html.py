@@ -3,15 +3,18 @@
 A page is parsed to text segments, each in a block, and to subtrees, each an interval of
 segments with a hash of its markup and text. Spark counts per host on how many different pages
 a subtree occurs; those on at least `share` of a host's pages and on `least` at least are
-templates of the site and are deleted, as are elements whose name, role or class says that they
-aren't the article (navigation, headers, footers, sidebars, notices, adverts, forms, comments,
-scripts, styles). Within an article or main element a recurring paragraph is content that
-pages share, such as a quotation, and stays; exact copies of a page count as one page.
+templates of the site and are deleted wherever they stand, within the article too, unless they
+are passages that sites share: those stand on other hosts as well, and are no template on most of
+them. Elements whose name, role or class says that they aren't the article go as well (navigation,
+headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles). Where a page
+marks its article (article, main), what stands outside goes too. Exact copies of a page count as
+one page.
 
 Cases: null and empty html give an empty text; markup that is never closed ends with the page,
-end tags without a start are ignored; a null url belongs to a host of its own; repeated rows give
-repeated results; extra columns are ignored; an empty table gives an empty table; the parser
-doesn't recurse, so deep nesting does no harm.
+end tags without a start are ignored; a start tag that is never closed is text; a null url belongs to a
+host of its own; repeated rows give repeated results; extra columns are ignored; an empty table gives an
+empty table. The parser doesn't recurse and takes linear time, so deep nesting, stray tags, quotes that
+never close and very long pages do no harm.
 """
 
 from __future__ import annotations
@@ -25,8 +28,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import column, slices, stored
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_ATTR = re.compile(r"([a-zA-Z][-a-zA-Z]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_OPEN = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+_PLAIN = re.compile(r"[^>\"']*")
+_ATTR = re.compile(r"([^\s=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: HTML element names by what they mean here.
 RAW = frozenset("script style textarea title noscript xmp iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
@@ -37,47 +41,72 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 MARKS = frozenset("ad ads adv advert adverts advertisement sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments disqus respond widget pagination pager skip".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre search section summary table ul".split())
 #: What a start tag closes, and what stops the search for it.
-CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 SCOPE = frozenset("table td th article main section div body aside nav header footer form ul ol dl".split())
 
 
 class Page:
-    """segments: (block, text); subtrees: (hash, first, end, guarded); chrome: intervals of segments; content: those of articles."""
+    """segments: (block, text); subtrees: (hash, first, end); chrome: intervals of segments; content: those of articles."""
 
     def __init__(self, source: str | None):
         self.segments: list[tuple[int, str]] = []
-        self.subtrees: list[tuple[int, int, int, bool]] = []
+        self.subtrees: list[tuple[int, int, int]] = []
         self.chrome: list[tuple[int, int]] = []
         self.content: list[tuple[int, int]] = []
         self._block, self._guard, self._stack = 0, 0, []
+        self._open: dict[str, list[int]] = {}  # places of the open elements by name
         self._parse(source or "")
 
     def _parse(self, s: str) -> None:
-        at = 0
-        while at < len(s):
-            m = _TOKEN.search(s, at)
-            if m is None:
-                self._text(s[at:])
-                break
+        at, quotes = 0, True
+        while m := _OPEN.search(s, at):
+            name = m[2]
+            if name is None:
+                mark = "-->" if m[0] == "<!--" else ">"
+                close = s.find(mark, m.start() + 2)
+                end = len(s) if close < 0 else close + len(mark)
+            else:
+                close = self._tag_end(s, m.end()) if quotes else -1
+                if close < 0:  # once in a page: from here on a tag ends at the first >
+                    quotes, close = False, s.find(">", m.end())
+                if close < 0:
+                    break
+                end = close + 1
             if m.start() > at:
                 self._text(s[at : m.start()])
-            at = m.end()
-            name = m[2] or m[5]
-            if not name:
+            at = end
+            if name is None:
                 continue
             name = name.lower()
-            if m[1] or m[4]:
+            if m[1]:
                 self._end(name)
                 continue
-            attrs = m[3] if m[2] else m[6]
-            self._start(name, attrs or "")
+            self._start(name, s[m.end() : close])
             if name in RAW:
                 close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(s, at)
                 self._end(name)
                 at = close.end() if close else len(s)
+        if at < len(s):
+            self._text(s[at:])
         while self._stack:
             self._pop()
 
+    @staticmethod
+    def _tag_end(s: str, at: int) -> int:
+        """Where the > of a tag stands, outside quoted values; -1 if there is none."""
+        while (at := _PLAIN.match(s, at).end()) < len(s):
+            if s[at] == ">":
+                return at
+            before = at - 1
+            while s[before].isspace():
+                before -= 1
+            if s[before] == "=":
+                at = s.find(s[at], at + 1)
+                if at < 0:
+                    return -1
+            at += 1
+        return -1
+
     def _text(self, raw: str) -> None:
         text = entities.unescape(raw) if "&" in raw else raw
         self.segments.append((self._block, text))
@@ -97,32 +126,35 @@ class Page:
             return
         chrome = name in CHROME or name == "header" and not self._guard
         if not chrome and attrs and "=" in attrs:
-            found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
+            found = {x[1].lower(): x[2] or x[3] or x[4] or "" for x in _ATTR.finditer(attrs)}
             named = set(re.split(r"[^a-z0-9]+", (found.get("class", "") + " " + found.get("id", "")).lower()))
             chrome = bool(found.get("role", "").lower() in ROLES or named & MARKS and name not in ("body", "html", "main", "h1")) or "hidden" in found.get("aria-hidden", "")
             chrome = chrome or found.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", found.get("style", "")))
         guard = name in ("article", "main") and not chrome
         self._guard += guard
-        self._stack.append((name, len(self.segments), chrome, [name.encode()], guard, self._guard > guard))
+        self._open.setdefault(name, []).append(len(self._stack))
+        self._stack.append((name, len(self.segments), chrome, [name.encode()], guard))
+
+    def _last(self, names) -> int:
+        """The place of the innermost open element of these names, or -1."""
+        return max((self._open[x][-1] for x in names if self._open.get(x)), default=-1)
 
     def _close(self, names: set[str], stop) -> None:
-        for i in range(len(self._stack) - 1, -1, -1):
-            if self._stack[i][0] in names:
-                while len(self._stack) > i:
-                    self._pop()
-                return
-            if self._stack[i][0] in stop:
-                return
+        at = self._last(names)
+        if at > self._last(stop - names):
+            while len(self._stack) > at:
+                self._pop()
 
     def _end(self, name: str) -> None:
-        if any(x[0] == name for x in reversed(self._stack)):
+        if self._open.get(name):
             while self._pop() != name:
                 pass
         elif name == "p":
             self._block += 1
 
     def _pop(self) -> str:
-        name, first, chrome, parts, guard, inside = self._stack.pop()
+        name, first, chrome, parts, guard = self._stack.pop()
+        self._open[name].pop()
         self._guard -= guard
         if name in BLOCKS:
             self._block += 1
@@ -136,7 +168,7 @@ class Page:
             if guard:
                 self.content.append((first, end))
             if name in BLOCKS:  # a word in bold is no template
-                self.subtrees.append((h, first, end, inside or guard))
+                self.subtrees.append((h, first, end))
         return name
 
     def text(self, templates: frozenset[int] = frozenset()) -> str:
@@ -148,8 +180,8 @@ class Page:
         for a, b in self.chrome:
             keep[a:b] = bytes(b - a)
         if templates:
-            for h, a, b, guarded in self.subtrees:
-                if not guarded and h in templates:
+            for h, a, b in self.subtrees:
+                if h in templates:
                     keep[a:b] = bytes(b - a)
         out, last, parts = [], None, []
         for (block, text), ok in zip(self.segments, keep):
@@ -168,13 +200,13 @@ def host(url):
 
 
 def _subtrees(rows: DataFrame) -> DataFrame:
-    """(host, page, hash): the subtrees outside articles of each different page."""
+    """(host, page, hash): the subtrees of each row, each once."""
 
     def run(batches):
         for batch in slices(batches, "html"):
             hosts, pages, hashes = [], [], []
             for own, key, source in zip(column(batch, "host").to_pylist(), column(batch, "page").to_pylist(), column(batch, "html").to_pylist()):
-                for h in {x[0] for x in Page(source).subtrees if not x[3]}:
+                for h in {x[0] for x in Page(source).subtrees}:
                     hosts.append(own)
                     pages.append(key)
                     hashes.append(h)
@@ -184,12 +216,17 @@ def _subtrees(rows: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame, share: float = 0.5, least: int = 5) -> DataFrame:
-    """(host, hashes): subtrees on at least `share` of the host's different pages, and on `least` at least."""
+    """(host, hashes): subtrees on at least `share` of the host's different pages, and on `least` at least,
+    that are such on half or more of the hosts (of `least` pages or more) on which they stand."""
     rows = pages.withColumn("page", F.xxhash64("html"))
-    found = _subtrees(rows).distinct().groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    sizes = rows.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    # more than 1 / share times a page's number of subtrees can't recur so often: the list of a host is bounded
-    return found.join(sizes, "host").where(F.col("n") >= share * F.col("pages")).groupBy("host").agg(F.collect_list("hash").alias("hashes"))
+    sizes = stored(rows.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= least), "hosts")
+    counts = stored(_subtrees(rows).distinct().groupBy("host", "hash").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+    found = counts.join(sizes, "host").withColumn("often", (F.col("n") >= least) & (F.col("n") >= share * F.col("pages")))
+    often = found.where("often").select("host", "hash")
+    # a passage that stands on one page of another host isn't counted there
+    most = found.join(often.select("hash").distinct(), "hash", "left_semi").groupBy("hash").agg(F.avg(F.col("often").cast("int")).alias("part"))
+    # a page has so many subtrees, and each is on a share of the pages: the list of a host is bounded
+    return often.join(most.where("part >= 0.5").select("hash"), "hash").groupBy("host").agg(F.collect_list("hash").alias("hashes"))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", share: float = 0.5, least: int = 5) -> DataFrame:
