@@ -11,7 +11,7 @@ Words are runs of ASCII letters (in lower case), digits and all characters beyon
 
 score: 1 if a template is accepted, else 0.5 if a base phrase occurs, else 0.
 
-Cases: null counts as empty, and has no words, labels or places; repeated rows give repeated
+Cases: a template without mandatory wording is an error; null counts as empty, and has no words, labels or places; repeated rows give repeated
 results; extra columns are ignored; an empty table gives an empty table; any length of text
 is scanned whole.
 """
@@ -60,6 +60,13 @@ TEMPLATES = {
     "cc-by-nc-4.0": [
         "licensed under <<optional>>a <</optional>><<cc by nc|creative commons attribution noncommercial>> 4 0 <<optional>>international license<</optional>>",
     ],
+    "cc0-1.0": ["<<cc0|creative commons zero>> 1 0 universal <<optional>>public domain dedication<</optional>>"],
+    "mpl-2.0": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
+    "lgpl": ["under the <<optional>>terms of the <</optional>>gnu lesser general public license <<optional>>as published by the free software foundation <</optional>><<optional>>either <</optional>>version <<2 1|3>>"],
+    "agpl-3.0": ["under the <<optional>>terms of the <</optional>>gnu affero general public license <<optional>>as published by the free software foundation <</optional>><<optional>>either <</optional>>version 3"],
+    "bsl-1.0": ["distributed under the boost software license version 1 0"],
+    "zlib": ["this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"],
+    "unlicense": ["this is free and unencumbered software released into the public domain"],
 }
 
 #: Lower case for A-Z; ASCII that is no letter or digit becomes a blank.
@@ -127,11 +134,20 @@ class TokenAutomaton:
         return seen
 
     def _starts(self) -> set[bytes]:
-        """The pairs of words that a match can begin with, joined by a blank."""
+        """What a match can begin with, blanks around: pairs of words, or one word where any may follow or none needs to.
+
+        Words that a replaceable region takes at the start are left out: the match without them is one too.
+        """
+        begin = self._closed({0})
+        if self.end in begin:
+            raise ValueError("a template needs mandatory wording")
         out = set()
-        for w, to in [(w, to) for s in self._closed({0}) for w, to in self.edges[s].items()]:
-            for v in {v for s in self._closed(to) for v in self.edges[s]}:
-                out.add(b" " + w + b" " + v + b" ")
+        for w, to in [(w, to) for s in begin for w, to in self.edges[s].items() if w is not None]:
+            after = self._closed(to)
+            second = {v for s in after for v in self.edges[s]}
+            out |= {b" " + w + b" "} if self.end in after or None in second else {b" " + w + b" " + v + b" " for v in second}
+        if self.end in self._closed({to for s in begin for to in self.edges[s].get(None, ())}):
+            raise ValueError("a template needs mandatory wording")
         return out
 
     def accepts(self, own: list[bytes], at: int) -> bool:
