@@ -12,7 +12,7 @@ payload by aggregation, then the ids of the other copies; only those ids are joi
 pages. Bundles are written and read through pyarrow's file systems (file, hdfs, s3, gs).
 
 Cases: null payload counts as empty; payloads under `least` bytes are never revisits; rows that
-repeat the smallest id of a payload are all responses; rows without an id are archived as
+repeat the smallest id of a payload are all responses; rows that repeat have records of their own, numbered within a bundle; rows without an id are archived as
 responses, or revisits if the payload has a smaller id; null urls have no target URI; extra
 columns are ignored; an empty table gives an empty table.
 """
@@ -113,27 +113,28 @@ class BundleReader:
             yield name, body[offset : offset + size]
 
 
-def identifier(page_id: int | None) -> str:
-    return "urn:kb:page:" + ("none" if page_id is None else str(page_id))
+def identifier(page_id: int | None, digest: str, copy: int = 0) -> str:
+    """Name of a record: its row's id, its payload and, for a row that repeats within a bundle, a number."""
+    return f"urn:kb:page:{'none' if page_id is None else page_id}:{digest[:16]}" + f":{copy}" * bool(copy)
 
 
 def _page_of(name: str) -> int | None:
-    last = name.rsplit(":", 1)[1]
-    return None if last == "none" else int(last)
+    page = name.split(":")[3]
+    return None if page == "none" else int(page)
 
 
-def warc_record(page_id, url, payload: bytes, digest: str, refers_to=None) -> bytes:
+def warc_record(page_id, url, payload: bytes, digest: str, refers_to=None, copy: int = 0) -> bytes:
     """A WARC/1.1 response, or, with refers_to, a revisit without payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if refers_to is None else b"")
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <{identifier(page_id)}>",
+        f"WARC-Record-ID: <{identifier(page_id, digest, copy)}>",
         f"WARC-Date: {DATE}",
         *([] if url is None else [f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%~-._' + chr(39))}"]),
         f"WARC-Payload-Digest: sha256:{digest}",
-        *([] if refers_to is None else [f"WARC-Refers-To: <{identifier(refers_to)}>", f"WARC-Profile: {PROFILE}"]),
+        *([] if refers_to is None else [f"WARC-Refers-To: <{identifier(refers_to, digest)}>", f"WARC-Profile: {PROFILE}"]),
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
     ]
@@ -175,7 +176,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
     def run(batches):
         store, base = pafs.FileSystem.from_uri(folder)
-        writer, n, made = BundleWriter(), 0, []
+        writer, n, made, copies = BundleWriter(), 0, [], {}
 
         def close():
             name = f"{base}/{uuid.uuid4().hex}.warc.zst"
@@ -187,11 +188,13 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         store.create_dir(base, recursive=True)
         for batch in slices(batches, "payload"):
             for page_id, url, raw, digest, first in zip(*(c.to_pylist() for c in batch.columns)):
-                writer.add(identifier(page_id).encode(), warc_record(page_id, url, raw, digest, first))
+                copy = copies.get((page_id, digest), 0)
+                copies[page_id, digest] = copy + 1
+                writer.add(identifier(page_id, digest, copy).encode(), warc_record(page_id, url, raw, digest, first, copy))
                 n += 1
             if writer.size >= BUNDLE:
                 close()
-                writer, n = BundleWriter(), 0
+                writer, n, copies = BundleWriter(), 0, {}
         if n:
             close()
         yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.int64())], ["path", "size", "records"])
