@@ -13,8 +13,10 @@ At cosine 0.9 (distance 0.447) two vectors share a cell with probability 0.822,
 12 miss a pair with probability (1 - 0.822^12)^48 < 0.01, and at 0.95 with less than 3e-5.
 
 Cases: null and zero vectors, and those with null or non-finite components, link with nothing;
-vectors of different length are never compared; repeated rows are links of one another; extra
-columns are ignored; an empty table gives an empty table.
+vectors of different length are never compared; repeated rows are links of one another; classes have numbers
+of their own, so that rows without an id, and vectors that share one, are compared like others: component_id is
+null where no row of a component has an id, and kept is true where the id equals the component's, two nulls
+being equal; extra columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,11 +28,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import column, mix, partitions, stored
-from .graph import components
-from .neardup import groups
+from .common import column, mix, partitions, ragged, stored
+from .graph import components, forest
 
 TABLES, PROJECTIONS, WIDTH, BLOCK = 48, 12, 2.0, 512
+#: Groups of at most so many rows are multiplied together with others of their size, so many numbers at once.
+SMALL, PART = 64, 1 << 20
 #: Vectors and directions are rounded to multiples of these, so that sums of products are exact.
 GRID, GRAIN = float(1 << 20), float(1 << 14)
 
@@ -42,11 +45,12 @@ def _directions(dims: int) -> tuple[np.ndarray, np.ndarray]:
     return a, np.rint(rng.uniform(0, WIDTH, TABLES * PROJECTIONS) * GRID * GRAIN)
 
 
-def table_keys(unit: np.ndarray) -> np.ndarray:
-    """n x TABLES keys of normalised vectors."""
+def table_keys(unit: np.ndarray, tables: int = TABLES) -> np.ndarray:
+    """n x tables keys of normalised vectors: those of the first tables."""
     a, shift = _directions(unit.shape[1])
-    cells = np.floor((np.rint(unit * GRID) @ a + shift) / (WIDTH * GRID * GRAIN)).astype(np.int64).view(np.uint64).reshape(len(unit), TABLES, PROJECTIONS)
-    key = np.broadcast_to(np.arange(TABLES, dtype=np.uint64) + np.uint64(unit.shape[1] << 8), (len(unit), TABLES))
+    a, shift = a[:, : tables * PROJECTIONS], shift[: tables * PROJECTIONS]
+    cells = np.floor((np.rint(unit * GRID) @ a + shift) / (WIDTH * GRID * GRAIN)).astype(np.int64).view(np.uint64).reshape(len(unit), tables, PROJECTIONS)
+    key = np.broadcast_to(np.arange(tables, dtype=np.uint64) + np.uint64(unit.shape[1] << 8), (len(unit), tables))
     for i in range(PROJECTIONS):
         key = mix(key ^ cells[:, :, i], i)
     return key.view(np.int64)
@@ -92,54 +96,100 @@ def _table_rows(reps: DataFrame) -> DataFrame:
     return reps.select("id", "vector").mapInArrow(run, "slot int, bucket bigint, id bigint")
 
 
-def _compare(group: pa.Table, cosine: float) -> pa.RecordBatch:
-    """(a, b, n): links of class a if b is null, else an edge."""
-    ids, copies, at_block = group["id"].to_numpy(), group["copies"].to_numpy(), group["own"].to_numpy()
-    slot, i, j = group["slot"][0].as_py(), group["i"][0].as_py(), group["j"][0].as_py()
-    unit = _unit(np.frombuffer(b"".join(group["vector"].to_pylist()), "<f8").reshape(len(ids), -1))
-    left = np.flatnonzero(at_block == i)
-    right = left if i == j else np.flatnonzero(at_block == j)
-    near = unit[left] @ unit[right].T >= cosine - 1e-9
-    if i == j:
-        near = np.triu(near, 1)
-    x, y = np.nonzero(near)
-    x, y = left[x], right[y]
-    if len(x):
-        exact = np.einsum("ij,ij->i", unit[x], unit[y]) >= cosine
-        x, y = x[exact], y[exact]
-    links = np.zeros(len(ids), np.int64)
-    root = np.arange(len(ids))
-    if len(x):
+def _whole(batches, keys: list[str]):
+    """Tables of whole groups of rows with equal keys, from sorted batches; a group that isn't whole yet waits for the next batch."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        ends = np.flatnonzero(np.any([c[1:] != c[:-1] for c in (t[k].to_numpy() for k in keys)], axis=0))
+        if held and any(held[-1][k][-1].as_py() != t[k][0].as_py() for k in keys):
+            yield pa.concat_tables(held)
+            held = []
+        if len(ends):
+            yield pa.concat_tables([*held, t.slice(0, int(ends[-1]) + 1)])
+            held = []
+        held.append(t.slice(int(ends[-1]) + 1 if len(ends) else 0))
+    if held:
+        yield pa.concat_tables(held)
+
+
+def _near_pairs(unit: np.ndarray, starts: np.ndarray, sizes: np.ndarray, own: np.ndarray, i: np.ndarray, j: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (x, y) of one group each whose vectors are near: small groups of one size at once, each larger block for itself."""
+    xs, ys = [], []
+    least = cosine - 1e-9
+    for size in np.unique(sizes[(sizes > 1) & (sizes <= SMALL)]):
+        upper = np.triu(np.ones((size, size), bool), 1)
+        first = starts[sizes == size]
+        step = max(1, PART // (size * unit.shape[1]))
+        for a in range(0, len(first), step):
+            at = first[a : a + step, None] + np.arange(size)
+            vectors = unit[at]
+            g, x, y = np.nonzero((vectors @ vectors.transpose(0, 2, 1) >= least) & upper)
+            xs.append(at[g, x])
+            ys.append(at[g, y])
+    for start, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+        rows = np.arange(start, start + size)
+        left = rows[own[rows] == i[start]]
+        right = left if i[start] == j[start] else rows[own[rows] == j[start]]
+        near = unit[left] @ unit[right].T >= least
+        if i[start] == j[start]:
+            near = np.triu(near, 1)
+        x, y = np.nonzero(near)
+        xs.append(left[x])
+        ys.append(right[y])
+    x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys))
+    exact = np.ones(len(x), bool)
+    for a in range(0, len(x), 20_000):
+        exact[a : a + 20_000] = np.einsum("ij,ij->i", unit[x[a : a + 20_000]], unit[y[a : a + 20_000]]) >= cosine
+    return x[exact], y[exact]
+
+
+def _compare(groups: pa.Table, cosine: float, keys: list[str]) -> pa.RecordBatch:
+    """(a, b, n) of whole groups: the number n of links of class a if b is null, else an edge."""
+    ids, copies, own = (groups[k].to_numpy() for k in ("id", "copies", "own"))
+    slot, i, j = (groups[k].to_numpy() for k in ("slot", "i", "j"))
+    raws = groups["vector"].to_pylist()
+    starts = np.concatenate([[0], np.flatnonzero(np.any([c[1:] != c[:-1] for c in (groups[k].to_numpy() for k in keys)], axis=0)) + 1])
+    sizes = np.diff(np.append(starts, len(ids)))
+    links, a, b = np.zeros(len(ids), np.int64), [], []
+    dims = np.array([len(raws[s]) for s in starts.tolist()])  # of one bucket all are equal
+    for size in np.unique(dims):
+        use = np.flatnonzero(dims == size)
+        rows = ragged(starts[use], sizes[use])
+        unit = _unit(np.frombuffer(b"".join(raws[r] for r in rows.tolist()), "<f8").reshape(len(rows), -1))
+        x, y = _near_pairs(unit, np.cumsum(sizes[use]) - sizes[use], sizes[use], own[rows], i[rows], j[rows], cosine)
+        if not len(x):
+            continue
         involved, back = np.unique(np.concatenate([x, y]), return_inverse=True)
-        keys = table_keys(unit[involved])
         p, q = back[: len(x)], back[len(x) :]
-        new = np.ones(len(x), bool)
-        for t in range(slot):
-            new &= keys[p, t] != keys[q, t]
-        x, y = x[new], y[new]
+        new, upto = np.ones(len(x), bool), slot[rows[x]]
+        known = np.concatenate([table_keys(unit[involved[c : c + 2000]], int(upto.max())) for c in range(0, len(involved), 2000)])
+        for t in range(known.shape[1]):
+            new &= (known[p, t] != known[q, t]) | (upto <= t)
+        x, y = rows[x[new]], rows[y[new]]
         np.add.at(links, x, copies[y])
         np.add.at(links, y, copies[x])
-        while True:
-            least = root.copy()
-            np.minimum.at(least, x, root[y])
-            np.minimum.at(least, y, root[x])
-            least = least[least]
-            if (least == root).all():
-                break
-            root = least
-    has, low = np.flatnonzero(links), np.flatnonzero(root != np.arange(len(ids)))
-    a = np.concatenate([ids[has], ids[low]])
-    b = pa.array(np.concatenate([np.zeros(len(has), np.int64), ids[root[low]]]), mask=np.arange(len(a)) < len(has))
-    n = np.concatenate([links[has], np.zeros(len(low), np.int64)])
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), b, pa.array(n, pa.int64())], ["a", "b", "n"])
+        if len(x):
+            stars = forest(ids[x], ids[y])
+            a.append(stars[0])
+            b.append(stars[1])
+    has = np.flatnonzero(links)
+    a, b = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (a, b))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate([ids[has], a]), pa.int64()), pa.array(np.concatenate([ids[has], b]), pa.int64(), mask=np.arange(len(has) + len(a)) < len(has)), pa.array(np.concatenate([links[has], np.zeros(len(a), np.int64)]), pa.int64())],
+        ["a", "b", "n"],
+    )
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per row."""
     spark = vectors.sparkSession
     rows = stored(_classes(vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("vector"))), "vectors")
-    classes = stored(rows.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
-    reps = stored(rows.join(classes.select("key", F.col("rep").alias("id"), "copies"), ["key", "id"]).dropDuplicates(["id"]).select("id", "copies", "vector"), "reps")
+    classes = rows.where("key is not null").groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
+    classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "classes")  # numbers are fixed by writing them
+    reps = classes.select("id", "copies", "vector")
 
     slots = stored(_table_rows(reps), "slots")
     full = stored(slots.groupBy("slot", "bucket").agg(F.count("*").alias("n")).where("n > 1").select("slot", "bucket", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("blocks")), "buckets")
@@ -151,14 +201,17 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     dealt = dealt.repartition(partitions(spark), *keys).sortWithinPartitions(*keys)
 
     def run(batches):
-        for group in groups(batches, keys):
-            if group.num_rows > 1:
-                yield _compare(group, cosine)
+        for whole in _whole(batches, keys):
+            yield _compare(whole, cosine, keys)
 
     found = stored(dealt.mapInArrow(run, "a bigint, b bigint, n bigint"), "found")
     links = stored(found.where("b is null").groupBy("a").agg(F.sum("n").alias("links")), "links")
-    labels = components(found.where("b is not null").select("a", "b")).withColumnRenamed("id", "a")
-    per = stored(classes.join(links, classes["rep"] == links["a"], "left").drop("a").join(labels, F.col("rep") == labels["a"], "left").select("key", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component")), "per")
+    labels = stored(components(found.where("b is not null").select("a", "b")).join(classes.select("id", "low"), "id"), "labels")
+    least = stored(labels.groupBy("component").agg(F.min("low").alias("least")), "least")
+    linked = labels.join(least, "component").select("id", "least")
+    n_links = (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
+    per = classes.select("id", "key", "low", "copies").join(links.withColumnRenamed("a", "id"), "id", "left").join(linked, "id", "left")
+    per = stored(per.select("key", n_links, F.coalesce("least", "low").alias("component_id")), "per")
     out = rows.select("id", "key").join(per, "key", "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    component = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
