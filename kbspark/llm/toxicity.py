@@ -1,31 +1,34 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is the bag of its character n-grams (with marks at both ends) and of itself, hashed to
-BUCKETS rows of an embedding table; a text is the mean of its words. Embeddings and softmax
+BUCKETS rows of an embedding table; a text is the mean of its words and of PRIOR blank ones, so that
+one word of a very short text doesn't decide alone. Embeddings and softmax
 weights are trained together on labelled rows, at most `sample` of them, taken by hash of
 their id. Misspelt words share most of their n-grams with the words that were seen. Because all
 is linear, scoring needs one number per n-gram: the trained model is a vector of BUCKETS floats.
 
 Cases: null, empty and blank texts get the score of the intercept alone; without labelled rows, or
 with one class only, every row gets the share of toxic rows (0 without any); repeated rows are
-scored alike; extra columns are ignored; an empty table gives an empty table.
+scored alike; of several texts with one labelled id the one whose words sort first is fitted; rows without an id are
+scored, not held out and not fitted; extra columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import column, slices
+from .common import column, ragged, slices
 
-BUCKETS, DIMS, SCALE = 1 << 17, 2, 30.0
+BUCKETS, DIMS, SCALE, PRIOR = 1 << 20, 2, 30.0, 8
 #: At most so many labelled rows are fitted.
 SAMPLE = 5000
 GRAMS = range(3, 7)
-CACHE = 500_000
+CACHE = 300_000
 #: Longer words (bytes) aren't remembered; in scripts without blanks a whole text is one word.
 LONG = 256
 #: ASCII letters in lower case, digits as they are, other ASCII as blanks.
@@ -45,12 +48,12 @@ def grams(word: bytes) -> list[int]:
 
 
 def bag(text: str | None) -> tuple[bytes, np.ndarray]:
-    """A text's distinct words, joined by blanks, and the share of each."""
+    """A text's distinct words, joined by blanks, and the share of each among them and the blank ones."""
     own = words(text)
     counts: dict[bytes, int] = {}
     for w in own:
         counts[w] = counts.get(w, 0) + 1
-    return b" ".join(counts), np.fromiter(counts.values(), np.float32, len(counts)) / max(1, len(own))
+    return b" ".join(counts), np.fromiter(counts.values(), np.float32, len(counts)) / np.float32(len(own) + PRIOR)
 
 
 class _Sums:
@@ -60,20 +63,26 @@ class _Sums:
         self.n, self.width, self.cols, self.weights = len(lens), width, cols, weights[:, None]
         self.full = np.flatnonzero(lens)
         self.starts = (np.cumsum(lens) - lens)[self.full]
-        order = np.argsort(cols, kind="stable")
+        order = np.argsort(cols, kind="stable").astype(np.int32)
         self.rows, self.back = np.repeat(np.arange(len(lens), dtype=np.int32), lens)[order], weights[order][:, None]
-        self.seen, self.firsts = np.unique(cols[order], return_index=True)
+        own = cols[order]
+        self.firsts = np.flatnonzero(np.concatenate([np.ones(min(1, len(own)), bool), own[1:] != own[:-1]]))
+        self.seen = own[self.firsts]
 
     def __call__(self, table: np.ndarray) -> np.ndarray:
         out = np.zeros((self.n, table.shape[1]), np.float32)
         if len(self.full):
-            out[self.full] = np.add.reduceat(table[self.cols] * self.weights, self.starts)
+            cells = table[self.cols]
+            cells *= self.weights
+            out[self.full] = np.add.reduceat(cells, self.starts)
         return out
 
     def transposed(self, grad: np.ndarray) -> np.ndarray:
         out = np.zeros((self.width, grad.shape[1]), np.float32)
         if len(self.seen):
-            out[self.seen] = np.add.reduceat(grad[self.rows] * self.back, self.firsts)
+            cells = grad[self.rows]
+            cells *= self.back
+            out[self.seen] = np.add.reduceat(cells, self.firsts)
         return out
 
 
@@ -103,7 +112,7 @@ class ToxicityModel:
         for i, t in enumerate(texts):
             own = words(t)
             if own:
-                out[i] += np.fromiter(map(self.known.__getitem__, own), np.float64, len(own)).mean()
+                out[i] += np.fromiter(map(self.known.__getitem__, own), np.float64, len(own)).sum() / (len(own) + PRIOR)
         return 1 / (1 + np.exp(-np.clip(out, -50, 50)))
 
     @classmethod
@@ -118,21 +127,27 @@ class ToxicityModel:
             return cls(np.zeros(BUCKETS, np.float32), 50.0 if share else -50.0)
         number: dict[bytes, int] = {}
         rows = [np.array([number.setdefault(w, len(number)) for w in joined.split()], np.int32) for joined, _ in bags]
-        owns = [np.array(grams(w), np.int32) for w in number]
+        lens, flat = np.zeros(len(number), np.int32), array("i")
+        for i, w in enumerate(number):
+            own = grams(w)
+            lens[i] = len(own)
+            flat.extend(own)
+        flat, ends = np.frombuffer(flat, np.int32), np.cumsum(lens, dtype=np.int64)
+        number.clear()
         seen = np.zeros(BUCKETS, np.int32)
         for row in rows:
             if len(row):
-                seen[np.unique(np.concatenate([owns[w] for w in row]))] += 1
+                seen[np.unique(flat[ragged(ends[row] - lens[row], lens[row])])] += 1
         used = np.flatnonzero(seen >= max(2, common * len(rows)))
         if not len(used):
             return cls(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
         place = np.full(BUCKETS, -1, np.int32)
         place[used] = np.arange(len(used))
-        lens = np.array([len(g) for g in owns])
-        flat = place[np.concatenate(owns)]
-        owner = np.repeat(np.arange(len(owns)), lens)[flat >= 0]
-        to_word = _Sums(flat[flat >= 0], np.bincount(owner, minlength=len(owns)), (1 / lens)[owner].astype(np.float32), len(used))
-        to_text = _Sums(np.concatenate(rows), np.array([len(r) for r in rows]), np.concatenate([v for _, v in bags]), len(owns))
+        flat = place[flat]
+        owner = np.repeat(np.arange(len(lens), dtype=np.int32), lens)[flat >= 0]
+        to_word = _Sums(flat[flat >= 0], np.bincount(owner, minlength=len(lens)), (1 / lens).astype(np.float32)[owner], len(used))
+        del flat, owner, place, seen
+        to_text = _Sums(np.concatenate(rows), np.array([len(r) for r in rows]), np.concatenate([v for _, v in bags]), len(lens))
         mass = to_word.transposed(to_text.transposed(np.full((len(rows), 1), 1 / len(rows), np.float32)))
         step = 1 / (mass * SCALE**2 + 1e-6)
         rng = np.random.default_rng(seed)
@@ -175,23 +190,26 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityM
             got = [bag(t) for t in column(batch, "text").to_pylist()]
             yield pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "label"), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1].tobytes() for g in got], pa.binary())], ["id", "label", "words", "shares"])
 
-    # in one order, whatever the partitions were
-    got = sorted(rows.select("id", "label", "text").mapInArrow(run, "id bigint, label int, words binary, shares binary").toLocalIterator(), key=lambda r: (r["id"], r["label"], r["words"]))
-    return ToxicityModel.fit([(bytes(r["words"]), np.frombuffer(r["shares"], np.float32)) for r in got], np.array([r["label"] for r in got], np.int64))
+    # one row for each label, however often an id repeats; in one order, whatever the partitions were
+    bags = rows.select("id", "label", "text").mapInArrow(run, "id bigint, label int, words binary, shares binary").groupBy("id", "label").agg(F.min(F.struct("words", "shares")).alias("bag")).select("id", "label", "bag.*")
+    got = sorted(((r["id"], r["label"], bytes(r["words"]), np.frombuffer(r["shares"], np.float32)) for r in bags.toLocalIterator()), key=lambda r: r[:2])
+    labels = np.array([r[1] for r in got], np.int64)
+    got = [r[2:] for r in got]
+    return ToxicityModel.fit(got, labels)
 
 
-def scored(docs: DataFrame, model: ToxicityModel, columns: list[str]) -> DataFrame:
-    """The columns of docs (among them text) with score."""
+def scored(docs: DataFrame, model: ToxicityModel, columns: list[str], name: str = "score") -> DataFrame:
+    """The columns of docs (among them text) with the score as a column of that name; one of docs that has it already is replaced."""
     weights, bias = docs.sparkSession.sparkContext.broadcast(model.weights), model.bias  # of fixed size
-    keep = [c for c in columns if c != "score"]
+    keep = [c for c in columns if c != name]
 
     def run(batches):
         use = ToxicityModel(weights.value, bias)
         for batch in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in keep), pa.array(use.score(column(batch, "text").to_pylist()), pa.float64())], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in keep), pa.array(use.score(column(batch, "text").to_pylist()), pa.float64())], [*keep, name])
 
     frame = docs.select(*dict.fromkeys([*keep, "text"]))
-    schema = frame.select(*keep).schema.add("score", "double")
+    schema = frame.select(*keep).schema.add(name, "double")
     return frame.mapInArrow(run, schema)
 
 
