@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 from pyspark.sql import Column, functions as F
@@ -15,38 +16,57 @@ STOP = (
 SYNONYMS = {"broadcast": ["broadcast", "companion", "byoda"], "companion": ["companion", "broadcast", "byoda"], "byoda": ["byoda", "broadcast"]}
 
 
-def _folds() -> tuple[str, str]:
-    """Letters of the Latin blocks whose compatibility decomposition is one ASCII letter and marks."""
-    found = {}
-    for c in map(chr, range(0xAA, 0x250)):
-        base = "".join(x for x in unicodedata.normalize("NFKD", c) if not 0x300 <= ord(x) <= 0x36F)
-        if len(base) == 1 and base.isascii() and (base.islower() or base.isdigit()):
-            found[c] = base
-    return "".join(found), "".join(found.values())
+#: Combining marks that a search ignores.
+MARKS = "".join(map(chr, range(0x300, 0x370)))
 
 
-_FROM, _TO = _folds()
+@functools.lru_cache(maxsize=1)
+def _folds() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters whose compatibility decomposition, marks aside, is one lower-case ASCII letter or digit; and
+    those of the Latin blocks and their presentation forms whose decomposition is several characters, some such among them."""
+    one, many = {}, {}
+    for n in (*range(0x80, 0x300), *range(0x370, 0xD800), *range(0xE000, 0x1F200)):
+        base = "".join(x for x in unicodedata.normalize("NFKD", chr(n)) if x not in MARKS)
+        plain = [x for x in base if x.isascii() and (x.islower() or x.isdigit())]
+        if len(base) == 1 and plain:
+            one[chr(n)] = base
+        elif plain and (n < 0x300 or 0xFB00 <= n <= 0xFB06):
+            many[chr(n)] = base
+    return one, many
 
 
 def fold(c: Column) -> Column:
-    """Lower case without diacritics, for the Latin blocks; see fold_exact for every script."""
-    return F.translate(F.lower(c), _FROM, _TO)
+    """Lower case without diacritics, character by character, so that places stay."""
+    one, _ = _folds()
+    return F.translate(F.lower(c), "".join(one), "".join(one.values()))
+
+
+def fold_text(c: Column) -> Column:
+    """Lower case by compatibility decomposition without marks, in the JVM: all characters that stand for one letter
+    or digit, and Latin ligatures and fractions. fold_exact knows the rare rest (units, enclosed numbers)."""
+    one, many = _folds()
+    low = F.lower(c)
+    apart = low
+    for x, y in many.items():
+        apart = F.replace(apart, F.lit(x), F.lit(y))
+    low = F.when(low.rlike("[" + "".join(many) + "]"), apart).otherwise(low)
+    return F.translate(low, "".join(one) + MARKS, "".join(one.values()))
 
 
 def fold_exact(c: Column) -> Column:
-    """As fold, by full compatibility decomposition, in an Arrow UDF."""
+    """As fold_text, by full compatibility decomposition, in an Arrow UDF."""
 
     @F.pandas_udf("string")
     def run(s):
         low = s.fillna("").str.lower().str.normalize("NFKD")
-        return low.str.replace(r"[̀-ͯ]", "", regex=True)
+        return low.str.replace(f"[{MARKS[0]}-{MARKS[-1]}]", "", regex=True)
 
     return run(c)
 
 
 def tokens(c: Column, exact: bool = False) -> Column:
     """Words of two letters or digits at least that aren't stop words, in order."""
-    words = F.split((fold_exact if exact else fold)(F.coalesce(c, F.lit(""))), "[^a-z0-9]+")
+    words = F.split((fold_exact if exact else fold_text)(F.coalesce(c, F.lit(""))), "[^a-z0-9]+")
     return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(STOP))
 
 

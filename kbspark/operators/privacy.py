@@ -85,22 +85,45 @@ def name_in(name: Column, text: Column) -> Column:
     return F.contains(t, n) & F.regexp_like(t, F.concat(F.lit(r"(?<![a-z0-9])\Q"), n, F.lit(r"\E(?![a-z0-9])")))
 
 
-def name_leaks(texts: DataFrame, roster: DataFrame, text: str = "text", name: str = "name") -> DataFrame:
+def name_leaks(texts: DataFrame, roster: DataFrame, id_col: str = "doc_id", text: str = "text", name: str = "name") -> DataFrame:
     """Rows of texts with each roster name that stands in them.
 
-    Texts and names meet in an equi join on a key of the name, and the whole name is checked
-    only there. So nothing is compared all against all, and no side needs to be small. A key is
-    a whole run of ASCII letters and digits, or up to KEY characters of a run of others, such as
-    an accented letter behind a quote: wherever name_in finds the name, the text has these too.
+    Texts and names meet in an equi join on a key, and the whole name is checked only on the pairs found so. No side needs to
+    be small, and texts stay where they are: keys travel with the row's id and checksum. A name of several words is
+    looked up by where its first word meets its second: the run of ASCII letters and digits on either side of the blank,
+    or the one character of another kind. One of a single word is looked up by a whole run of ASCII letters and
+    digits, or up to KEY characters of a run of others, such as an accented letter behind a quote; texts get such keys only if
+    there is such a name. Wherever name_in finds the name, the text has these too. Rows without a text give none;
+    rows without an id, and repeated rows, give their own.
     """
-    plain = lambda c: F.regexp_extract_all(T.norm(c), F.lit("[a-z0-9]+"), 0)
-    other = lambda c: F.regexp_extract_all(T.norm(c), F.lit("[^a-z0-9\\s]+"), 0)
-    parts = F.concat(plain(F.col(name)), F.transform(other(F.col(name)), lambda r: F.substring(r, 1, KEY)))
+    split = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+    plain = lambda t: F.regexp_extract_all(t, F.lit("[a-z0-9]+"), 0)
+    other = lambda t: F.regexp_extract_all(t, F.lit("[^a-z0-9\\s]+"), 0)
+    end = lambda w: F.regexp_extract(w, "(?:[a-z0-9]+|[^a-z0-9])$", 0)
+    begin = lambda w: F.regexp_extract(w, "^(?:[a-z0-9]+|[^a-z0-9])", 0)
+    meet = lambda x, y: F.xxhash64(F.concat(x, F.lit(" "), y))
+    names = roster.where(name_like(F.col(name))).select(F.col(name).alias("name")).distinct()
+    names = names.withColumns({"_n": T.norm(F.col("name")), "_w": split(T.norm(F.col("name")))})
+    parts = F.concat(plain(F.col("_n")), F.transform(other(F.col("_n")), lambda r: F.substring(r, 1, KEY)))
     longest = F.array_max(F.transform(parts, lambda r: F.struct(F.length(r).alias("n"), r.alias("k"))))["k"]
+    several = F.size("_w") > 1
+    names = names.select("name", several.alias("_several"), F.when(several, meet(end(F.get("_w", F.lit(0))), begin(F.get("_w", F.lit(1))))).otherwise(F.xxhash64(longest)).alias("_k"))
+    singles = not names.where("not _several").isEmpty()
+
+    rows = texts.where(F.col(text).isNotNull()).select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_h"), T.norm(F.col(text)).alias("_t"))
+    rows = rows.withColumn("_w", split(F.col("_t")))
+    more = F.greatest(F.size("_w") - 1, F.lit(0))
+    rows = rows.withColumns({"_x": F.slice(F.transform("_w", end), F.lit(1), more), "_y": F.slice(F.transform("_w", begin), F.lit(2), more)})
     grams = lambda r: F.flatten(F.transform(F.sequence(F.lit(1), F.length(r)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(KEY), F.length(r) - i + 1)), lambda n: F.substring(r, i, n))))
-    names = roster.where(name_like(F.col(name))).select(F.col(name).alias("name"), longest.alias("_k")).distinct()
-    words = texts.select("*", F.explode(F.array_distinct(F.concat(plain(F.col(text)), F.flatten(F.transform(F.array_distinct(other(F.col(text))), grams))))).alias("_k"))
-    return words.join(names, "_k").where(name_in(F.col("name"), F.col(text))).drop("_k")
+    keyed = lambda many, keys: F.transform(F.array_distinct(keys), lambda k: F.struct(F.lit(many).alias("_several"), k.alias("_k")))
+    offered = keyed(True, F.zip_with("_x", "_y", meet))
+    if singles:
+        single = F.concat(F.array_distinct(plain(F.col("_t"))), F.flatten(F.transform(F.array_distinct(other(F.col("_t"))), grams)))
+        offered = F.concat(offered, keyed(False, F.transform(single, lambda w: F.xxhash64(w))))
+    found = rows.select("_id", "_h", F.inline(offered)).join(names, ["_several", "_k"]).select("_id", "_h", "name").distinct()
+    own = texts.withColumn("_h", F.xxhash64(text))
+    here = F.col(id_col).eqNullSafe(F.col("_id")) & (own["_h"] == found["_h"])
+    return own.join(found, here).where(name_in(F.col("name"), F.col(text))).drop("_id", "_h")
 
 
 def hygiene(json: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as T
@@ -23,11 +25,59 @@ def kind_order(kind: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for k, i in zip(KINDS, range(len(KINDS))) for x in (k, i)]), kind)
 
 
-def postings(records: DataFrame) -> DataFrame:
+def _occurrences(records: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """(rec_id, term, t): each token of title (t = 1) and text, in one scan; only: of these words."""
+    own = lambda c: T.tokens(F.col(c)) if only is None else F.filter(T.tokens(F.col(c)), lambda w: w.isin(only) if only else F.lit(False))
+    flagged = lambda c, flag: F.transform(own(c), lambda w: F.struct(w.alias("term"), F.lit(flag).alias("t")))
+    return records.select("rec_id", F.inline(F.concat(flagged("title", 1), flagged("text", 0))))
+
+
+def postings(records: DataFrame, only: list[str] | None = None) -> DataFrame:
     """(rec_id, term, title_tf, text_tf): one shuffle, combined within tasks before it."""
-    field = lambda c, title: records.select("rec_id", F.explode(T.tokens(F.col(c))).alias("term"), F.lit(title).alias("t"))
-    both = field("title", 1).unionAll(field("text", 0))
-    return both.groupBy("rec_id", "term").agg(F.sum("t").alias("title_tf"), F.sum(1 - F.col("t")).alias("text_tf"))
+    return _occurrences(records, only).groupBy("rec_id", "term").agg(F.sum("t").cast("bigint").alias("title_tf"), F.sum(1 - F.col("t")).cast("bigint").alias("text_tf"))
+
+
+#: Folders of a stored index that postings are dealt to by term, and files in each.
+BUCKETS, FILES = 64, 4
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+class Index(NamedTuple):
+    """records; postings (rec_id, term, title_tf, text_tf, bucket); terms (term, df); size (n)."""
+
+    records: DataFrame
+    postings: DataFrame
+    terms: DataFrame
+    size: DataFrame
+
+    def of(self, words: list[str]) -> DataFrame:
+        """Postings of some words: only the folders of their buckets are read, and of these the parts that may have them."""
+        spark = self.records.sparkSession
+        if not words:
+            return self.postings.where(F.lit(False))
+        at = [r[0] for r in spark.createDataFrame([(w,) for w in words], "term string").select(_bucket(F.col("term"))).distinct().collect()]
+        return self.postings.where(F.col("bucket").isin(at) & F.col("term").isin(words)).drop("bucket")
+
+
+def write_index(records: DataFrame, path: str) -> Index:
+    """Tokenises the records once and stores what searches need. Terms that stand in very many records are dealt to several files by record."""
+    spark = records.sparkSession
+    records.write.mode("overwrite").parquet(f"{path}/records")
+    stored = spark.read.parquet(f"{path}/records")
+    dealt = postings(stored).withColumn("bucket", _bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("rec_id"), F.lit(FILES)))
+    dealt.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    document_frequency(spark.read.parquet(f"{path}/postings")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    stored.agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/size")
+    return read_index(spark, path)
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    """A stored index; a missing part fails."""
+    schema = "rec_id string, term string, title_tf bigint, text_tf bigint, bucket int"
+    return Index(spark.read.parquet(f"{path}/records"), spark.read.schema(schema).parquet(f"{path}/postings"), spark.read.schema("term string, df bigint").parquet(f"{path}/terms"), spark.read.schema("n bigint").parquet(f"{path}/size"))
 
 
 def document_frequency(posts: DataFrame) -> DataFrame:
@@ -50,21 +100,20 @@ def query_terms(spark: SparkSession, queries: dict[int, str], synonyms: dict[str
     return q.join(syn, "term", "left").select("query_id", "qpos", "term", F.coalesce("alias_", "term").alias("alias"), "m")
 
 
-def search(records: DataFrame, queries: dict[int, str], k: int = 25, synonyms: dict[str, list[str]] = T.SYNONYMS, posts: DataFrame | None = None) -> DataFrame:
-    """(query_id, rank, rec_id, score, matched): the k best of each query.
+def search(records: DataFrame | Index, queries: dict[int, str], k: int = 25, synonyms: dict[str, list[str]] = T.SYNONYMS) -> DataFrame:
+    """(query_id, rank, rec_id, score, matched): the k best of each query, over records or a stored index.
 
-    Frequencies are counted for the queries' own words alone: the words, a handful, filter the
-    exploded tokens before the shuffle. Scores are rounded to six places, ties go by build_ord.
+    Without an index frequencies are counted for the queries' own words alone: the words, a handful, filter the
+    tokens before the shuffle. Scores are rounded to six places, ties go by build_ord.
     """
+    index = records if isinstance(records, Index) else None
+    records = index.records if index else records
     spark = records.sparkSession
     q = query_terms(spark, queries, synonyms)
-    terms = q.select("term").union(q.select("alias")).distinct()
-    if posts is None:
-        wanted = sorted(r[0] for r in terms.collect())  # words of the queries, not of the corpus
-        field = lambda c, t: records.select("rec_id", F.explode(F.filter(T.tokens(F.col(c)), lambda w: w.isin(wanted) if wanted else F.lit(False))).alias("term"), F.lit(t).alias("t"))
-        posts = field("title", 1).unionAll(field("text", 0)).groupBy("rec_id", "term").agg(F.sum("t").alias("title_tf"), F.sum(1 - F.col("t")).alias("text_tf"))
-    df = document_frequency(posts)
-    n = records.agg(F.count("*").alias("n"))
+    wanted = sorted({w for r in q.select("term", "alias").collect() for w in r})  # words of the queries, not of the corpus
+    posts = index.of(wanted) if index else postings(records, wanted)
+    df = index.terms.where(F.col("term").isin(wanted) if wanted else F.lit(False)) if index else document_frequency(posts)
+    n = index.size if index else records.agg(F.count("*").alias("n"))
     best = posts.withColumnRenamed("term", "alias").join(F.broadcast(q), "alias").groupBy("query_id", "qpos", "term", "m", "rec_id").agg(F.max("title_tf").alias("title_tf"), F.max("text_tf").alias("text_tf"))
     weighed = best.join(df, "term", "left").crossJoin(F.broadcast(n))
     part = idf(F.col("n"), F.col("df")) * (5 * F.col("title_tf") + F.col("text_tf"))
@@ -123,5 +172,67 @@ def browse(df: DataFrame, page: int = 0, size: int = 40) -> DataFrame:
 
 
 def top_records(df: DataFrame, k: int = 4) -> DataFrame:
-    """The k complete records of greatest confidence, then comments, then title."""
+    """The k complete records of greatest confidence, then comments, then title. Social records don't count, nor those without a
+    repository or number, where the columns source, repo and issue_id are there to tell."""
+    if "source" in df.columns:
+        df = df.where(~F.col("source").eqNullSafe("facebook"))
+    for c in ("repo", "issue_id"):
+        if c in df.columns:
+            df = df.where(F.col(c).isNotNull())
     return df.where("complete").orderBy(F.desc(confidence_weight(F.col("confidence"))), F.desc_nulls_last("comments"), F.asc_nulls_last("title"), "rec_id").limit(k)
+
+
+def with_comments(records: DataFrame, counts: DataFrame, key: str = "stem", count: str = "comments") -> DataFrame:
+    """records with the number of comments of their threads, 0 without a thread."""
+    return records.join(counts.select(key, F.col(count).alias("_n")), key, "left").withColumn(count, F.coalesce("_n", F.lit(0)).cast("bigint")).drop("_n")
+
+
+def vocabulary_facet(df: DataFrame, tags: str, vocabulary: list[str]) -> DataFrame:
+    """(value, n, ord): counts of the vocabulary's tags in its order, those that don't occur left out."""
+    order = F.create_map(*[x for i, v in enumerate(vocabulary) for x in (F.lit(v), F.lit(i))])
+    own = df.select(F.explode(F.array_distinct(F.col(tags))).alias("value")).where(F.col("value").isin(vocabulary))
+    return own.groupBy("value").agg(F.count("*").alias("n")).withColumn("ord", F.element_at(order, F.col("value"))).orderBy("ord")
+
+
+def version_facet(df: DataFrame, versions: str, k: int = 8) -> DataFrame:
+    """(value, n): the k greatest versions by their number, with their counts."""
+    own = df.select(F.explode(F.array_distinct(F.col(versions))).alias("value")).groupBy("value").agg(F.count("*").alias("n"))
+    number = F.split_part("value", F.lit(" "), F.lit(-1)).try_cast("double")
+    return own.orderBy(F.desc_nulls_last(number), "value").limit(k)
+
+
+def issue_ref(repo: Column, number: Column) -> Column:
+    """The repository's short name and the number."""
+    return F.concat(F.split_part(repo, F.lit("/"), F.lit(2)), F.lit("#"), number.cast("string"))
+
+
+def display(df: DataFrame) -> DataFrame:
+    """df (kind, source, url, title, posted_at, repo, number) with what a card shows: where it comes from, its host, its day, its reference."""
+    origin = F.when(F.col("source").eqNullSafe("facebook"), "community").when(F.col("kind") == "doc", "docs").otherwise("github")
+    return df.withColumns({"origin": origin, "host": T.url_host(F.col("url")), "day": F.substring(F.coalesce("posted_at", F.lit("")), 1, 10), "ref": F.when(F.col("repo").isNotNull(), issue_ref(F.col("repo"), F.col("number")))})
+
+
+def distilled_text(title: Column, *parts: Column) -> Column:
+    """Search text of a distilled record: title, symptom, cause, fix, and lists joined by blanks."""
+    return F.concat_ws(" ", F.coalesce(title, F.lit("")), *[F.coalesce(p, F.lit("")) for p in parts])
+
+
+def view(records: DataFrame | Index, query: str | None, browse_all: bool = False, kind: str | None = None, tag: str | None = None, version: str | None = None, page: int = 0) -> DataFrame:
+    """What a reader sees: a browse page if it is asked for or if a facet is chosen without a query, the landing list for a blank query, else a search."""
+    rows = records.records if isinstance(records, Index) else records
+    blank = not (query or "").strip()
+    if browse_all or blank and (kind or tag or version):
+        return browse(facet_filter(rows, kind, tag, version), page)
+    if blank:
+        return top_records(rows)
+    return facet_filter(search(records, {0: query}, 60).join(rows, "rec_id"), kind, tag, version).orderBy("rank")
+
+
+def acceptance(records: DataFrame | Index, queries: dict[int, str], kinds: tuple[str, ...] = ("doc", "thread"), k: int = 25) -> DataFrame:
+    """(query_id, kind, hits, ok): whether each query finds records of each kind among its k best."""
+    rows = records.records if isinstance(records, Index) else records
+    spark = rows.sparkSession
+    hits = search(records, queries, k).join(rows.select("rec_id", "kind"), "rec_id").groupBy("query_id", "kind").agg(F.count("*").alias("hits"))
+    asked = spark.createDataFrame([(q, x) for q in queries for x in kinds], "query_id int, kind string")
+    n = F.coalesce("hits", F.lit(0)).cast("bigint")
+    return asked.join(hits, ["query_id", "kind"], "left").select("query_id", "kind", n.alias("hits"), (n > 0).alias("ok"))

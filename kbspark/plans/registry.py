@@ -8,6 +8,7 @@ events and orders for listings that are synced. Every query runs over whole tabl
 from __future__ import annotations
 
 import hashlib
+import re
 import tempfile
 import uuid
 
@@ -67,6 +68,19 @@ def records(spark, d) -> DataFrame:
     return S.unify(doc_records(spark, d), thread_records(spark, d))
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def index(spark, d) -> S.Index:
+    """The stored index of all records, built once in a session for each data folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        path = f"{work_path(spark)}/index"
+        S.write_index(records(spark, d), path)
+        _INDEXES[key] = path
+    return S.read_index(spark, _INDEXES[key])
+
+
 @query(f"select doc_id, cast(len({toks('text')}) as int) as n_terms, array_to_string({toks('text')}, ' ') as terms from documents")
 def tokenize_terms(spark, d):
     w = T.tokens(F.col("text"))
@@ -80,9 +94,8 @@ def term_frequency(spark, d):
 
 @query(f"with recs as ({RECORDS_SQL}), {POST_SQL}, n as (select count(*) as n from recs) select term, count(*) as df, round(ln((any_value(n) + 1) / (count(*) + 0.5)), 6) as idf from post, n group by term")
 def document_frequency(spark, d):
-    r = records(spark, d)
-    n = F.broadcast(r.agg(F.count("*").alias("n")))
-    return S.document_frequency(S.postings(r)).crossJoin(n).select("term", "df", F.round(S.idf(F.col("n"), F.col("df")), 6).alias("idf"))
+    i = index(spark, d)
+    return i.terms.crossJoin(F.broadcast(i.size)).select("term", "df", F.round(S.idf(F.col("n"), F.col("df")), 6).alias("idf"))  # size: one row
 
 
 @query("select 'doc' as kind, count(*) as n from documents union all select 'thread', count(distinct conv_id) from conversations having count(*) > 0 union all select 'distilled', count(*) from benchmark having count(*) > 0")
@@ -113,7 +126,7 @@ def search_sql(recs: str, words: dict[int, str], k: int, synonyms: dict[str, lis
 
 @query(search_sql(RECORDS_SQL, {1: WORDS[1]}, 25) + " select * from top")
 def search_tfidf_topk(spark, d):
-    return S.search(records(spark, d), {1: WORDS[1]}, 25)
+    return S.search(index(spark, d), {1: WORDS[1]}, 25)
 
 
 SYN = {"heed": ["heed", "thble", "anly"], "thble": ["thble", "heed"]}
@@ -126,13 +139,13 @@ def search_synonyms(spark, d):
 
 @query(search_sql(RECORDS_SQL, WORDS, 10) + " select * from top")
 def search_multi_query(spark, d):
-    return S.search(records(spark, d), WORDS, 10)
+    return S.search(index(spark, d), WORDS, 10)
 
 
 @query(search_sql(RECORDS_SQL, {1: WORDS[1]}, 60) + " select top.* from top join recs using (rec_id) where kind = 'thread'")
 def search_post_filter(spark, d):
-    r = records(spark, d)
-    return S.facet_filter(S.search(r, {1: WORDS[1]}, 60).join(r.select("rec_id", "kind"), "rec_id"), kind="thread").select("query_id", "rank", "rec_id", "score", "matched")
+    i = index(spark, d)
+    return S.facet_filter(S.search(i, {1: WORDS[1]}, 60).join(i.records.select("rec_id", "kind"), "rec_id"), kind="thread").select("query_id", "rank", "rec_id", "score", "matched")
 
 
 @query(
@@ -145,8 +158,8 @@ def search_post_filter(spark, d):
       case when st > 0 then '… ' else '' end || trim(regexp_replace(substr(text, st + 1, greatest(fin - st, 0)), '\\s+', ' ', 'g')) || case when fin < length(text) then ' …' else '' end end as snippet from s"""
 )
 def search_snippet(spark, d):
-    r = records(spark, d)
-    hit = S.search(r, {1: WORDS[1]}, 60).select("rec_id").join(r.select("rec_id", "text"), "rec_id")
+    i = index(spark, d)
+    hit = S.search(i, {1: WORDS[1]}, 60).select("rec_id").join(i.records.select("rec_id", "text"), "rec_id")
     return hit.select("rec_id", T.snippet(F.col("text"), F.array(F.lit("heed"), F.lit("anly"))).alias("snippet"))
 
 
@@ -360,13 +373,17 @@ def quoted_pairs(docs: DataFrame, quotes: DataFrame, of: Column) -> DataFrame:
     found = q.select(kind(w).alias("a"), kind(v).alias("b"), (w != v).alias("linked")).distinct().collect()  # of fixed size
     plain, bare, linked = sorted({r["a"] for r in found if r["a"]}), sorted({r["b"] for r in found if r["b"]}), any(r["linked"] for r in found)
     q = q.select(*quotes.columns, F.inline(form(own(w), own(v)))).where("k is not null")
-    rows = both(docs, "text").where("text is not null")
+    marked = docs.withColumn("_h", F.xxhash64("text"))
+    rows = both(marked, "text").where("text is not null")
     without = F.when(F.lit(linked) | (w != v), offered(v, bare)).otherwise(F.array().cast("array<bigint>"))
     keys = F.concat(F.transform(offered(w, plain), lambda k: F.struct(F.lit(False).alias("bare"), k.alias("k"))), F.transform(without, lambda k: F.struct(F.lit(True).alias("bare"), k.alias("k"))))
-    rows = rows.select(*docs.columns, F.inline(keys))
+    # keys travel with the row's id (the first column) and checksum; texts stay where they are
+    rows = rows.select(F.col(docs.columns[0]).alias("_id"), "_h", F.inline(keys))
+    found = rows.join(q, ["bare", "k"]).select("_id", F.col("_h").alias("_g"), "bare", *quotes.columns).distinct()
     # a pair that stands word for word is taken from that key alone, so that it comes once
     word_for_word = F.contains(T.norm(F.col("text")), T.norm(F.col("quote")))
-    return rows.join(q, ["bare", "k"]).where(of & (word_for_word != F.col("bare"))).drop("bare", "k")
+    here = F.col(docs.columns[0]).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_g"))
+    return marked.join(found, here).where(of & (word_for_word != F.col("bare"))).drop("bare", "_id", "_h", "_g")
 
 
 @query(f"select item_id, count(doc_id) as n_docs, min(doc_id) as first_doc from benchmark b left join documents d on contains({NORM_SQL.format(c='d.text')}, {NORM_SQL.format(c='b.text')}) group by item_id")
@@ -519,7 +536,11 @@ def latest_wins_dedupe(spark, d):
 
 def work_path(spark) -> str:
     """A fresh folder that driver and executors share: under spark.checkpoint.dir, a temporary one only where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/kbspark"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}/kbspark"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
