@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,14 +23,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one only where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may do without, with a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return (found or "file://" + os.path.join(tempfile.gettempdir(), "kbspark-checkpoints")).rstrip("/")
 
 
+#: Folders that this driver has named, by application.
+_made: dict[str, list[str]] = {}
+
+
 def new_path(spark: SparkSession, what: str) -> str:
     """A fresh folder name in the shared folder."""
-    return f"{shared_dir(spark)}/kb-{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/kb-{what}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all folders that operators of this session have written: for when their results have been used or written elsewhere."""
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:

@@ -553,3 +553,18 @@ def test_parser_is_linear():
         html.Page(source).text()
     assert time.time() - begin < 5
     assert html.Page("<p title=don't>x's</p><ul><li>a<li>b</ul>a < b <!--> c <a href='>'>d</a><br/>e <q").text() == "x's\n\na\n\nb\n\na < b c d e <q"
+
+
+def test_shared_folder(spark, monkeypatch):
+    from kbspark.llm import common
+
+    common.release(spark)
+    df = common.stored(spark.range(3), "x")
+    path = common._made[spark.sparkContext.applicationId][-1]
+    assert df.count() == 3 and path.startswith(common.shared_dir(spark))
+    common.release(spark)
+    assert not common._made and not __import__("os").path.exists(path.removeprefix("file://"))
+    monkeypatch.setattr(type(spark.sparkContext), "master", "local-cluster[2,1,1024]")
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            common.shared_dir(spark)
