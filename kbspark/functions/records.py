@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import os
+import secrets
 
 from pyspark.sql import Column, functions as F
 
@@ -53,3 +55,38 @@ def pseudonym(salt: bytes, identity: Column) -> Column:
 def cost(tokens_in: Column, tokens_out: Column, price_in: float = 0.14, price_out: float = 0.28) -> Column:
     """Price of tokens at so much a million."""
     return tokens_in / 1e6 * price_in + tokens_out / 1e6 * price_out
+
+
+def label_names(labels: Column) -> Column:
+    """Names of an array of label structs."""
+    return F.coalesce(F.transform(labels, lambda x: x["name"]), F.array().cast("array<string>"))
+
+
+def login(user: Column) -> Column:
+    """The login of a user struct; a mark where an account is gone."""
+    return F.coalesce(user["login"], F.lit("?"))
+
+
+def now_iso(now: Column | None = None) -> Column:
+    """The time a query began, or a given one, as ISO 8601 in UTC."""
+    return F.date_format(F.current_timestamp() if now is None else now, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def load_salt(env: str, path: str, environ=os.environ) -> bytes:
+    """The salt of an installation: from the environment, else from a file, which is made for its owner alone if it isn't there.
+
+    On the driver. An empty salt is none; where none can be had or kept, it fails.
+    """
+    if given := environ.get(env, "").strip():
+        return given.encode()
+    path = os.path.expanduser(path)
+    if os.path.exists(path):
+        with open(path, encoding="utf-8") as f:
+            if kept := f.read().strip():
+                return kept.encode()
+    made = secrets.token_hex(32)
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    with open(os.open(path, os.O_WRONLY | os.O_CREAT | os.O_TRUNC, 0o600), "w", encoding="utf-8") as f:
+        f.write(made + "\n")
+    os.chmod(path, 0o600)
+    return made.encode()

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-#: The device vocabulary in its order, and what marks each device in running text.
+#: The device vocabulary in its order, and what marks each device in running text. Word boundaries are
+#: spelt out, for letters, digits and _ of ASCII: \b of this JVM heeds other letters too.
 DEVICES = {
     "G7": r"(?<![A-Za-z0-9_])(?:dexcom\s+)?g7(?![A-Za-z0-9_])",
     "G6": r"(?<![A-Za-z0-9_])(?:dexcom\s+)?g6(?![A-Za-z0-9_])",
@@ -42,7 +43,7 @@ def canonical(c: Column, rules: list[tuple[str, list[str], list[str]]] = RULES)
 
 def canonical_set(*arrays: Column) -> Column:
     """Distinct tags of the arrays' entries, in order of first appearance."""
-    return F.array_distinct(F.filter(F.transform(F.concat(*arrays), canonical), lambda t: t.isNotNull()))
+    return F.array_distinct(F.filter(F.transform(F.concat(*arrays), lambda e: canonical(e)), lambda t: t.isNotNull()))
 
 
 def versions(c: Column, word: str = "android", label: str = "Android ", least: float = 8) -> Column:

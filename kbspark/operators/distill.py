@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import os
+import urllib.request
 from collections.abc import Callable
 
 import pandas as pd
@@ -11,11 +14,62 @@ from ..functions import records as R, text as T
 from .validate import REPO_KEYS, record_errors
 
 
-def pick_batch(threads: DataFrame, done: DataFrame, limit: int = 200, key: str = "stem", anchors: list[str] | None = None) -> DataFrame:
-    """What isn't done: anchors first, then by comments and number."""
-    anchor = F.col(key).isin(anchors) if anchors else F.lit(False)
-    order = [F.desc(anchor), F.desc_nulls_last("comment_count"), F.desc_nulls_last(F.when(~anchor, F.col("number"))), key]
-    return threads.join(done.select(key).distinct(), key, "left_anti").orderBy(*order).limit(limit)
+def settled(distilled: DataFrame, parked: DataFrame, key: str = "stem") -> DataFrame:
+    """Keys that are done or parked, each once."""
+    return distilled.select(key).union(parked.select(key)).distinct()
+
+
+def pick_batch(threads: DataFrame, done: DataFrame, limit: int = 200, key: str = "stem", anchors: DataFrame | None = None) -> DataFrame:
+    """What isn't done: anchors (keys) first, then by comments and number."""
+    rest = threads.join(done.select(key).distinct(), key, "left_anti")
+    anchor = F.coalesce("_anchor", F.lit(False))
+    rest = rest.withColumn("_anchor", F.lit(False)) if anchors is None else rest.join(anchors.select(key, F.lit(True).alias("_anchor")).distinct(), key, "left")
+    order = [F.desc(anchor), F.desc_nulls_last("comment_count"), F.desc_nulls_last(F.when(~anchor, F.col("number"))), F.col(key)]
+    return rest.orderBy(*order).limit(limit).drop("_anchor")
+
+
+def pick_social_batch(posts: DataFrame, done: DataFrame, limit: int = 200, key: str = "stem") -> DataFrame:
+    """Posts that aren't done, by comments and then key, both descending."""
+    return posts.join(done.select(key).distinct(), key, "left_anti").orderBy(F.desc_nulls_last("comment_count"), F.desc(key)).limit(limit)
+
+
+def remaining(threads: DataFrame, distilled: DataFrame, parked: DataFrame, key: str = "stem") -> DataFrame:
+    """(total, distilled, parked, remaining): what is left is counted, so that a state of threads that went doesn't lessen it."""
+    left = threads.join(settled(distilled, parked, key), key, "left_anti")
+    n = lambda df, name: df.agg(F.count("*").alias(name))
+    return n(threads, "total").crossJoin(n(distilled, "distilled")).crossJoin(n(parked, "parked")).crossJoin(n(left, "remaining"))  # four rows of one
+
+
+def endpoint(prefix: str, key_file: str, provider: str, base: str, model: str, environ=os.environ) -> dict[str, str]:
+    """Where a model is and its key: from <prefix>_BASE_URL, _MODEL, _API_KEY, else the key from a JSON file {provider: {key}}. Without a key it fails."""
+    out = {"base": environ.get(f"{prefix}_BASE_URL", base).rstrip("/"), "model": environ.get(f"{prefix}_MODEL", model), "key": environ.get(f"{prefix}_API_KEY", "")}
+    path = os.path.expanduser(environ.get(f"{prefix}_KEY_FILE", key_file))
+    if not out["key"] and os.path.exists(path):
+        with open(path, encoding="utf-8") as f:
+            try:
+                out["key"] = (json.load(f).get(provider) or {}).get("key", "")
+            except json.JSONDecodeError:
+                pass
+    if not out["key"]:
+        raise ValueError(f"no key of the model: set {prefix}_API_KEY, or {prefix}_KEY_FILE to a file with one under {provider!r}")
+    return out
+
+
+def chat_client(config: dict[str, str], system: str, opener=urllib.request.urlopen, timeout: float = 120) -> Callable[[str, str], tuple[str, int, int]]:
+    """An extractor that asks a chat endpoint over https: (answer, tokens in, tokens out). The key travels with the closure, never in a plan."""
+    if not config["base"].startswith("https://"):
+        raise ValueError("a model is asked over https")
+
+    def ask(text: str, hint: str) -> tuple[str, int, int]:
+        user = text if not hint else f"{text}\n\nThe answer before was rejected: {hint}"
+        body = {"model": config["model"], "temperature": 0, "response_format": {"type": "json_object"}, "messages": [{"role": "system", "content": system}, {"role": "user", "content": user}]}
+        request = urllib.request.Request(f"{config['base']}/chat/completions", json.dumps(body).encode(), {"Authorization": f"Bearer {config['key']}", "Content-Type": "application/json"})
+        with opener(request, timeout=timeout) as r:
+            got = json.loads(r.read())
+        usage = got.get("usage") or {}
+        return got["choices"][0]["message"]["content"], int(usage.get("prompt_tokens", 0)), int(usage.get("completion_tokens", 0))
+
+    return ask
 
 
 def prompt(template: str, *cols: Column) -> Column:

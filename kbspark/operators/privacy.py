@@ -49,11 +49,12 @@ def group_slug(name: Column, url: Column) -> Column:
     return F.coalesce(F.nullif(T.slug(F.coalesce(name, F.lit(""))), F.lit("")), F.nullif(T.slug(segment), F.lit("")), F.lit("group"))
 
 
-def anonymise(raw: DataFrame, salt: bytes, column: str = "value") -> DataFrame:
-    """Threads from a column of JSON posts, by whitelist; `errors` names posts that can't be kept."""
+def anonymise(raw: DataFrame, salt: bytes, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Threads from a column of JSON posts, by whitelist; `errors` names posts that can't be kept. keep: columns of one's own that stay, such as a batch number."""
     j = F.col(column)
     comments = F.coalesce(*[F.from_json(F.get_json_object(j, f"$.{k}"), "array<string>") for k in ALIASES["comments"]], F.array().cast("array<string>"))
     d = raw.select(
+        *keep,
         j.alias("_j"),
         F.substring(F.regexp_replace(F.coalesce(R.first_alias(j, ALIASES["id"]), F.lit("")), "[^A-Za-z0-9_-]", ""), 1, 120).alias("id"),
         R.first_alias(j, ALIASES["group"]).alias("group"),
@@ -69,7 +70,7 @@ def anonymise(raw: DataFrame, salt: bytes, column: str = "value") -> DataFrame:
     names = F.filter(F.transform("_comments", lambda c: R.first_text(F.get_json_object(c, "$.commentAuthor.name"), F.get_json_object(c, "$.user.name"), F.when(~F.get_json_object(c, "$.commentAuthor").startswith("{"), F.get_json_object(c, "$.commentAuthor")))), lambda n: n.isNotNull() & name_like(n))
     d = d.withColumns({"source": F.lit("facebook"), "comments": made, "_names": names, "stem": F.concat_ws("-", group_slug(F.col("group"), F.coalesce("group_url", "url")), "id")})
     leaks = F.exists("_names", lambda n: name_in(n, F.concat_ws("\n", "text", F.array_join(F.transform("comments", lambda c: c["text"]), "\n"))))
-    return d.withColumn("errors", errors((F.col("id") == "", "post without an id"), (~F.coalesce(F.col("url").rlike("^https://"), F.lit(False)), "post without a permalink"), (leaks, "an author's name stands in the text"))).select("stem", "id", "source", "group", "group_url", "url", "posted_at", "text", "comments", "reactions_count", "errors")
+    return d.withColumn("errors", errors((F.col("id") == "", "post without an id"), (~F.coalesce(F.col("url").rlike("^https://"), F.lit(False)), "post without a permalink"), (leaks, "an author's name stands in the text"))).select(*keep, "stem", "id", "source", "group", "group_url", "url", "posted_at", "text", "comments", "reactions_count", "errors")
 
 
 def name_like(c: Column, strict: bool = True) -> Column:

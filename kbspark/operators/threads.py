@@ -21,6 +21,11 @@ def before_close(created: Column, closed: Column) -> Column:
     return closed.isNull() | F.coalesce(created <= closed, F.lit(False))
 
 
+def first_before_close(comments: Column, closed: Column, k: int = 10) -> Column:
+    """The first k comments (structs with created_at) before the close, in the order they stand."""
+    return F.slice(F.filter(comments, lambda c: before_close(c["created_at"], closed)), 1, k)
+
+
 def keep_comments(df: DataFrame, key: str, created: str, closed: str, tie: str, head: int = 15, tail: int = 25, least: int = 10) -> DataFrame:
     """Of the comments before the close, all or the first `head` and last `tail`; if fewer than `least`, later ones fill up."""
     d = df.withColumn("_pre", F.coalesce(before_close(F.col(created), F.col(closed)), F.lit(False)))

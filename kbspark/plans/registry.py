@@ -282,10 +282,21 @@ def top_records(spark, d):
     return S.top_records(browse_records(spark, d)).select("rec_id", "comments", "title")
 
 
-@query(f"with {BROWSE_SQL} select kind, count(*) as n, count(*) filter (kind = 'distilled' and not coalesce(complete, false)) as incomplete, count(*) filter (kind <> 'distilled' or coalesce(complete, false)) as shown from rec group by kind")
+@query(
+    """with j as (select d.doc_id, toxic = 1 as toxic, quality, lang, source, text from documents d left join (select doc_id, max(quality) as quality, max(toxic) as toxic from labels group by doc_id) l on d.doc_id = l.doc_id),
+    r as (select case when toxic then 'doc' when quality is not null then 'distilled' else 'thread' end as kind,
+      trim(coalesce(lang, '')) <> '' and trim(coalesce(case when quality = 1 then source end, '')) <> '' and trim(coalesce(substr(text, 1, 20), '')) <> '' as complete from j)
+    select kind, count(*) as n, count(*) filter (kind = 'distilled' and not complete) as incomplete, count(*) filter (kind <> 'distilled' or complete) as shown from r group by kind"""
+)
 def completeness_filter(spark, d):
-    r = browse_records(spark, d).withColumn("complete", F.coalesce("complete", F.lit(False)))
-    return r.groupBy("kind").agg(F.count("*").alias("n"), F.count_if((F.col("kind") == "distilled") & ~F.col("complete")).alias("incomplete"), F.count_if((F.col("kind") != "distilled") | F.col("complete")).alias("shown"))
+    lab = t(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    j = t(spark, d, "documents").join(lab, "doc_id", "left")
+    kind = F.when(F.col("toxic") == 1, "doc").when(F.col("quality").isNotNull(), "distilled").otherwise("thread")
+    r = j.select(kind.alias("kind"), S.complete(F.col("lang"), F.when(F.col("quality") == 1, F.col("source")), F.substring("text", 1, 20)).alias("complete"))
+    count = lambda df, n: df.groupBy("kind").agg(F.count("*").alias(n))
+    both = count(S.conclusions_only(r, include=True), "n").join(count(S.conclusions_only(r), "shown"), "kind", "left")
+    shown = F.coalesce("shown", F.lit(0))
+    return both.select("kind", "n", (F.col("n") - shown).alias("incomplete"), shown.cast("bigint").alias("shown"))
 
 
 # ---- joins, state, gates
@@ -301,9 +312,7 @@ def comment_count_left_join(spark, d):
 def pick_next_batch(spark, d):
     o = t(spark, d, "orders").select(F.col("o_orderkey").alias("stem"), F.col("o_totalprice").alias("comment_count"), F.col("o_custkey").alias("number"))
     done = t(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("stem"))
-    anchor = F.col("stem") % 97 == 0
-    left = o.join(done.distinct(), "stem", "left_anti")
-    return left.orderBy(F.desc(anchor), F.desc_nulls_last("comment_count"), F.desc_nulls_last(F.when(~anchor, F.col("number"))), "stem").limit(200).select("stem", "comment_count")
+    return D.pick_batch(o, done, 200, anchors=o.where(F.col("stem") % 97 == 0)).select("stem", "comment_count")
 
 
 @query(
@@ -419,10 +428,13 @@ def referential_gate(spark, d):
     return r.select("doc_id", F.array_join("errors", "; ").alias("error"))
 
 
-@query("select count(*) as checked, count(*) filter (coalesce(trim(url), '') = '') as no_url, count(*) filter (coalesce(trim(html), '') = '') as blank, count(*) >= 6 as enough from pages")
+@query("select count(*) as checked, count(*) filter (coalesce(trim(url), '') = '' or coalesce(trim(html), '') = '') as failed, coalesce(max(substr(url, 1, 4)), '') as proof from pages having count(*) >= 6")
 def attribution_gate(spark, d):
-    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
-    return t(spark, d, "pages").agg(F.count("*").alias("checked"), F.count_if(blank(F.col("url"))).alias("no_url"), F.count_if(blank(F.col("html"))).alias("blank"), (F.count("*") >= 6).alias("enough"))
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    p = t(spark, d, "pages").select("url", "html", F.lit("page").alias("kind"))
+    p = L.gate(L.at_least(p, "kind", {"page": 6}), F.col("kind").isNull(), "a page without a kind")
+    checked = p.withColumn("errors", L.errors((blank("url"), "no link to its source"), (blank("html"), "blank text")))
+    return L.totals(checked).crossJoin(p.agg(F.coalesce(F.max(F.substring("url", 1, 4)), F.lit("")).alias("proof")))  # one row each
 
 
 @query("select event_id, array_to_string(list_sort(list_filter(json_keys(props), lambda x: x not in ('id', 'source'))), ',') as extra from events where len(list_filter(json_keys(props), lambda x: x not in ('id', 'source'))) > 0")
@@ -462,7 +474,7 @@ def hygiene_gate(spark, d):
     return t(spark, d, "conversations").select("conv_id", "turn", V.hygiene(j).alias("e")).where(F.size("e") > 0).select("conv_id", "turn", F.array_join("e", "; ").alias("error"))
 
 
-@query()
+@query("select c_custkey as id, 'user.name' as path, c_name as value from customer where c_name is not null union all select c_custkey, 'user.handle[0]', c_name from customer where c_name is not null")
 def harvest_names(spark, d):
     j = F.to_json(F.struct(F.struct(F.col("c_name").alias("name"), F.array(F.col("c_name")).alias("handle")).alias("user"), F.lit("x").alias("text")))
     return V.strings(t(spark, d, "customer").select("c_custkey", j.alias("j")), "c_custkey", "j", names=True)
@@ -513,15 +525,14 @@ def markdown_to_html(spark, d):
 
 
 
-@query("with w as (select epoch_ms(cast((epoch_ms(min(ts)) + epoch_ms(max(ts))) / 2 as bigint)) as w from events) select event_id from events, w where user_id % 3 <> 0 or ts > w")
+@query("with w as (select max(ts) as w from events where user_id % 7 = 0 and event_id % 50 = 0) select event_id from events, w where user_id % 3 <> 0 or ts > w")
 def incremental_watermark(spark, d):
     e = t(spark, d, "events").select("event_id", "user_id", "ts")
-    w = e.agg(F.timestamp_millis(((F.unix_millis(F.min("ts").cast("timestamp_ltz")) + F.unix_millis(F.max("ts").cast("timestamp_ltz"))) / 2).cast("bigint")).cast(dict(e.dtypes)["ts"]).alias("w")).first()[0]
-    saved = e.where("user_id % 3 = 0").select("event_id")
-    return Y.changed(e, saved, "event_id", "ts", w).select("event_id")
+    mark = Y.watermark(e.where("user_id % 7 = 0 and event_id % 50 = 0"), "ts")
+    return Y.changed(e, e.where("user_id % 3 = 0").select("event_id"), "event_id", "ts", mark).select("event_id")
 
 
-@query("select event_type, count(*) filter (user_id % 10 <> 0) as seen, count(*) filter (user_id % 10 = 0) as pr_skipped, count(*) filter (user_id % 10 <> 0 and value <= 50) as fetched, count(*) filter (user_id % 10 <> 0 and value > 50) as skipped from events group by event_type")
+@query("select event_type, count(*) filter (user_id % 10 <> 0) as seen, count(*) filter (user_id % 10 = 0) as pr_skipped, count(*) filter (user_id % 10 <> 0 and value <= 50) as fetched, count(*) filter (user_id % 10 <> 0 and value > 50) as skipped, count(*) filter (user_id % 10 <> 0) as saved from events group by event_type")
 def sync_summary(spark, d):
     return Y.summary(t(spark, d, "events"), "event_type", F.col("user_id") % 10 == 0, F.col("value") > 50)
 
@@ -571,7 +582,12 @@ def stub(text: str, hint: str) -> tuple[str, int, int]:
     return "```json\n" + json.dumps(record) + "\n```", len(text) // 4, 100
 
 
-@query()
+@query(
+    r"""with th as (select conv_id, string_agg(coalesce(text, ''), chr(10) order by turn, coalesce(text, '')) as x from conversations group by conv_id),
+    q as (select *, left(trim(regexp_replace(x, '\s+', ' ', 'g')), 60) as quote, list_sum(list_transform(string_split(sha256(x), ''), lambda c: instr('0123456789abcdef', c) - 1)) % 3 as h from th),
+    e as (select *, concat_ws('; ', case when length(trim(coalesce(nullif(left(x, 40), ''), 'none'))) = 0 then 'title must be a string of 1 to 300 characters' end, case when length(trim(quote)) < 5 then 'evidence_quote must be a string of 5 characters at least' end) as bad from q)
+    select conv_id, cast(case when h = 0 or bad <> '' then 2 else 1 end as int) as attempts, bad as error, length(x) // 4 * case when h = 0 or bad <> '' then 2 else 1 end as tokens_in, cast(100 * case when h = 0 or bad <> '' then 2 else 1 end as bigint) as tokens_out from e"""
+)
 def distill_with_stub(spark, d):
     base = work_path(spark)
 

@@ -13,7 +13,7 @@ def ship(spark: SparkSession, folder: str) -> None:
         env["PYTHONPATH"] = ":".join([folder, *paths])
 
 
-def local(name: str = "kbspark", cores: str = "*", partitions: int = 8) -> SparkSession:
+def local(name: str = "kbspark", cores: str = "*", partitions: int = 8, settings: dict[str, str] | None = None) -> SparkSession:
     """A local session with the settings the tests and the bench use."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
@@ -24,5 +24,6 @@ def local(name: str = "kbspark", cores: str = "*", partitions: int = 8) -> Spark
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config(map=settings or {})
         .getOrCreate()
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.threads import latest
@@ -30,14 +31,26 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def _renamed(fs, a, b) -> bool:
+    """Whether a became b; a file system may say no or raise."""
+    try:
+        return fs.rename(a, b) and fs.exists(b)
+    except Py4JJavaError:
+        return False
+
+
 def swap(spark: SparkSession, new: str, path: str) -> None:
-    """Renames a finished table over another."""
+    """Renames a finished table over another. If that fails, the old one is put back; nothing is deleted before the new one stands."""
     fs, to = _fs(spark, path)
-    old = _fs(spark, f"{path}.old-{uuid.uuid4().hex}")[1]
-    if fs.exists(to):
-        fs.rename(to, old)
-    fs.rename(_fs(spark, new)[1], to)
-    if fs.exists(old):
+    old, source = _fs(spark, f"{path}.old-{uuid.uuid4().hex}")[1], _fs(spark, new)[1]
+    there = fs.exists(to)
+    if there and not _renamed(fs, to, old):
+        raise OSError(f"{path} can't be renamed")
+    if not _renamed(fs, source, to):
+        if there and not _renamed(fs, old, to):
+            raise OSError(f"{new} can't be renamed to {path}; the table is kept as {old}")
+        raise OSError(f"{new} can't be renamed to {path}")
+    if there:
         fs.delete(old, True)
 
 
@@ -51,8 +64,27 @@ def upsert(new: DataFrame, path: str, keys: list[str], *order: str) -> None:
     swap(spark, staging, path)
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+def write_json(df: DataFrame, path: str, key: str | None = None) -> None:
+    """One object a row; with a key each of its values has a folder. What was there before goes."""
+    (df.repartition(key).write.partitionBy(key) if key else df.write).mode("overwrite").json(path)
+
+
+def append_json(df: DataFrame, path: str) -> None:
+    """Raw rows as lines behind those that are there."""
+    df.write.mode("append").json(path)
+
+
+def write_roster(roster: DataFrame, path: str, column: str = "name") -> None:
+    """Names for a later scan, each once. They are personal data: the path must be private."""
+    roster.select(column).distinct().write.mode("overwrite").json(path)
+
+
+def write_docs(pages: DataFrame, path: str) -> DataFrame:
+    """Markdown files of pages (name, url, body, error) that were fetched, a folder for each name, with their source on the first line; gives the rest."""
+    ok = pages.where(F.col("error").isNull())
+    text = F.concat(F.lit("# Source: "), F.col("url"), F.lit("\n\n"), F.col("body"))
+    ok.select("name", text.alias("value")).repartition("name").write.partitionBy("name").mode("overwrite").text(path)
+    return pages.where(F.col("error").isNotNull()).select("name", "url", "error")
 
 
 def manifest(df: DataFrame, by: str) -> DataFrame:

@@ -192,3 +192,146 @@ def test_empty_query(spark):
     docs = spark.createDataFrame([("r", 0, "doc", "t", "word")], "rec_id string, build_ord bigint, kind string, title string, text string")
     assert search.search(docs, {1: "the of"}).count() == 0
     assert search.search(docs, {1: "word constructor"}).first()["matched"] == 1
+
+
+def test_tokens_fold_every_script(spark):
+    assert one(spark, F.array_join(T.tokens(F.col("a")), ","), a="Ｆｕｌｌ Ｗｉｄｔｈ cafe\u0301 ﬁne ﬂow Tiếng ½5 ĳs ⁴²") == "full,width,cafe,fine,flow,tieng,25,ijs,42"
+    text = "Ｆｕｌｌ cafe\u0301 ﬁne ŉo Ǆab ½ Ünï 日本 Ångström"
+    assert one(spark, F.array_join(T.tokens(F.col("a")), ","), a=text) == one(spark, F.array_join(T.tokens(F.col("a"), exact=True), ","), a=text)
+
+
+def test_salt_is_kept(tmp_path):
+    path = tmp_path / "a" / "salt"
+    made = R.load_salt("S", str(path), {})
+    assert len(made) == 64 and R.load_salt("S", str(path), {}) == made and R.load_salt("S", str(path), {"S": " own "}) == b"own"
+    assert path.stat().st_mode & 0o777 == 0o600
+    path.write_text(" \n")
+    assert len(R.load_salt("S", str(path), {})) == 64
+    with pytest.raises(OSError):
+        R.load_salt("S", "/proc/no/salt", {})
+
+
+def test_endpoint_and_client(tmp_path):
+    (tmp_path / "key.json").write_text('{"x": {"key": "from file"}}')
+    where = ("P", str(tmp_path / "key.json"), "x", "https://h/", "m")
+    assert distill.endpoint(*where, {}) == {"base": "https://h", "model": "m", "key": "from file"}
+    assert distill.endpoint(*where, {"P_API_KEY": "k", "P_MODEL": "n", "P_BASE_URL": "https://g//"}) == {"base": "https://g", "model": "n", "key": "k"}
+    for bad in ("{", "{}"):
+        (tmp_path / "key.json").write_text(bad)
+        with pytest.raises(ValueError):
+            distill.endpoint(*where, {})
+    asked = []
+
+    class Answer:
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            pass
+
+        def read(self):
+            return b'{"choices": [{"message": {"content": "{}"}}], "usage": {"prompt_tokens": 3, "completion_tokens": 2}}'
+
+    ask = distill.chat_client({"base": "https://h", "model": "m", "key": "k"}, "system", lambda r, timeout: asked.append(r) or Answer())
+    assert ask("text", "") == ("{}", 3, 2) and ask("text", "bad quote") == ("{}", 3, 2)
+    assert asked[0].full_url == "https://h/chat/completions" and asked[0].headers["Authorization"] == "Bearer k"
+    assert "bad quote" in json.loads(asked[1].data)["messages"][1]["content"]
+    with pytest.raises(ValueError):
+        distill.chat_client({"base": "http://h", "model": "m", "key": "k"}, "")
+
+
+def test_listings_stop():
+    pages = {f"u{p}": json.dumps([{"n": p * 10 + i, **({"pull_request": {}} if i == 2 else {})} for i in range(3 if p < 4 else 1)]) for p in range(1, 6)}
+    got = lambda **o: [x["n"] for _, x in readers.listed("u{page}", fetch=lambda u: pages.get(u, "[]"), **o)]
+    assert got(pages=12, skip="pull_request") == [10, 11, 20, 21, 30, 31, 40, 50]  # until a page is empty
+    assert got(pages=12, size=3) == [10, 11, 12, 20, 21, 22, 30, 31, 32, 40]  # until a page is short
+    assert got(pages=12, pool=3, skip="pull_request") == [10, 11, 20, 21]  # until there are enough
+    assert got(pages=2) == [10, 11, 12, 20, 21, 22]
+    read = readers._Pages({"urls": "u{page}", "pool": "3", "skip": "pull_request"}, fetch=lambda u: pages[u])
+    assert [json.loads(r[2])["n"] for p in read.partitions() for r in read.read(p)] == [10, 11, 20, 21]
+
+
+def test_get_waits_and_gives_up():
+    import urllib.error
+
+    waits, tries = [], []
+
+    class Page:
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            pass
+
+        def read(self):
+            return b"ok"
+
+    def opener(request, timeout):
+        tries.append(request)
+        codes = {1: (429, {"Retry-After": "7"}), 2: (403, {"Retry-After": "5000"}), 3: (502, {})}
+        if len(tries) in codes:
+            code, headers = codes[len(tries)]
+            raise urllib.error.HTTPError("u", code, "x", headers, None)
+        return Page()
+
+    assert readers.get("https://h/", pause=0.5, opener=opener, sleep=waits.append) == "ok"
+    assert waits == [0.5, 7, 900, 4]
+    with pytest.raises(ValueError):
+        readers.get("file:///etc/passwd")
+    done = type("Done", (), {"returncode": 0, "stdout": '[{"a": 1}]', "stderr": ""})
+    assert readers.get_by(["client", "x"], lambda *a, **k: done) == [{"a": 1}]
+    done.returncode, done.stderr = 1, "no login"
+    with pytest.raises(OSError, match="no login"):
+        readers.get_by(["client"], lambda *a, **k: done)
+
+
+def test_upsert_survives_a_failed_rename(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "table")
+    rows = lambda *r: spark.createDataFrame(list(r), "k int, at int")
+    sinks.upsert(rows((1, 1), (2, 1)), path, ["k"], "at")
+    with pytest.raises(OSError):
+        sinks.swap(spark, str(tmp_path / "not there"), path)
+    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(1, 1), (2, 1)]
+    sinks.upsert(rows((2, 5), (3, 1)), path, ["k"], "at")
+    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(1, 1), (2, 5), (3, 1)]
+    assert [p.name for p in tmp_path.iterdir()] == ["table"]
+
+
+def test_state_and_rosters_fail_loudly(spark, tmp_path):
+    assert readers.read_state(spark, str(tmp_path / "none"), "k int").count() == 0
+    (tmp_path / "state").mkdir()
+    (tmp_path / "state" / "part-0.parquet").write_text("broken")
+    with pytest.raises(Exception):  # noqa: B017 - whatever the reader raises
+        readers.read_state(spark, str(tmp_path / "state"), "k int").collect()
+    (tmp_path / "roster.json").write_text('["a", 3]')
+    with pytest.raises(Exception, match="array of strings"):
+        readers.read_roster(spark, str(tmp_path / "roster.json")).collect()
+
+
+def test_index_reads_only_its_words(spark, tmp_path):
+    rng = random.Random(4)
+    words = [f"word{i}" for i in range(300)]
+    rows = [(f"r{i}", i, "doc", rng.choice(words), " ".join(rng.choice(words) for _ in range(20))) for i in range(100)]
+    docs = spark.createDataFrame(rows, "rec_id string, build_ord bigint, kind string, title string, text string")
+    index = search.write_index(docs, str(tmp_path / "index"))
+    asked = {1: "word7 word9", 2: "word200", 3: "the of", 4: "word3 nothere"}
+    rank = lambda x: sorted(tuple(r) for r in search.search(x, asked, 5).collect())
+    assert rank(index) == rank(docs) and len(rank(index)) > 5
+    plan = index.of(["word7"])._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+    assert "In(term" in plan or "EqualTo(term" in plan
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        search.read_index(spark, str(tmp_path / "nowhere"))
+
+
+def test_forced_sync_fetches_all(spark, tmp_path):
+    from kbspark.streaming import sync
+
+    path = str(tmp_path / "table")
+    sinks.upsert(spark.createDataFrame([(1, 1, "old")], "k int, at int, v string"), path, ["k"], "at")
+    listing = spark.createDataFrame([(1, 1), (2, 1)], "k int, at int")
+    fetch = lambda todo: todo.withColumn("v", F.lit("new"))
+    saved = readers.read_state(spark, path, "k int, at int, v string")
+    assert [r["k"] for r in sync.changed(listing, saved, "k", "at", 1).collect()] == [2]
+    sync.sync(listing, saved, fetch, path, "k", "at", force=True)
+    assert sorted(r["k"] for r in spark.read.parquet(path).collect()) == [1, 2]
