@@ -564,7 +564,7 @@ def test_shared_folder(spark, monkeypatch):
     assert df.count() == 3 and path.startswith(common.shared_dir(spark))
     common.release(spark)
     assert not common._made and not __import__("os").path.exists(path.removeprefix("file://"))
-    monkeypatch.setattr(type(spark.sparkContext), "master", "local-cluster[2,1,1024]")
+    monkeypatch.setattr(spark.sparkContext, "master", "local-cluster[2,1,1024]")
     if not spark.conf.get("spark.checkpoint.dir", None):
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
             common.shared_dir(spark)
