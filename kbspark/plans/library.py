@@ -15,7 +15,7 @@ from ..operators import distill as D, pages as P, privacy as V, search as S, thr
 from ..sources import readers, sinks
 from ..streaming import sync as Y
 from . import registry as G0
-from .registry import NORM_SQL, RECORDS_SQL, SALT, WORDS, _HEX, browse_records, query, search_sql, t, work_path
+from .registry import NORM_SQL, RECORDS_SQL, SALT, WORDS, _HEX, browse_records, markdown_sql, query, search_sql, t, work_path
 
 _BEFORE = set(G0.QUERIES)
 
@@ -442,15 +442,7 @@ def html_to_markdown(spark, d):
 _LINES = "list_transform(string_split(coalesce(text, ''), '. '), lambda x, i: case (i - 1) % 7 when 0 then '## ' || x when 1 then '- ' || x when 2 then '* ' || x when 3 then '12. ' || x when 4 then '---' else x end)"
 
 
-@query(
-    rf"""with l as (select doc_id, unnest(range(len(a))) as pos, trim(unnest(a), ' ') as line from (select doc_id, string_split(array_to_string({_LINES}, chr(10)), chr(10)) as a from documents)),
-    e as (select *, length(regexp_extract(line, '^(#{{1,6}}) ', 1)) as h, regexp_matches(line, '^([-*]|\d+\.) ') as item, regexp_matches(line, '^(-{{3,}}|\*{{3,}})$') as rule from l where line <> ''),
-    b as (select *, replace(replace(replace(replace(case when h > 0 or item then regexp_replace(line, '^(#{{1,6}}|[-*]|\d+\.) +', '') else line end, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') as x from e),
-    i as (select *, regexp_replace(regexp_replace(regexp_replace(x, '`([^`]+)`', '<code>\1</code>', 'g'), '\*\*([^*]+)\*\*', '<strong>\1</strong>', 'g'), '\*([^*]+)\*', '<em>\1</em>', 'g') as y from b),
-    o as (select doc_id, pos, case when h > 0 then '<h' || h || '>' || y || '</h' || h || '>' when item then '<li>' || y || '</li>' when rule then '<hr>' else '<p>' || y || '</p>' end as z,
-      item and not coalesce(lag(item) over (partition by doc_id order by pos), false) as opens, item and not coalesce(lead(item) over (partition by doc_id order by pos), false) as ends from i)
-    select doc_id, string_agg(case when opens then '<ul>' else '' end || z || case when ends then '</ul>' else '' end, chr(10) order by pos) as html from o group by doc_id"""
-)
+@query(markdown_sql(f"array_to_string({_LINES}, chr(10))"))
 def markdown_lists(spark, d):
     """Documents with a heading, three items, a rule and paragraphs for each seven of their sentences."""
     marks = F.array(*map(F.lit, ["## ", "- ", "* ", "12. ", "---", "", ""]))

@@ -511,12 +511,18 @@ def url_host(spark, d):
     return t(spark, d, "pages").select("page_id", T.url_host(F.col("url")).alias("host"))
 
 
-@query(
-    r"""with l as (select doc_id, unnest(range(len(a))) as pos, trim(unnest(a)) as line from (select doc_id, string_split(coalesce(text, ''), chr(10)) as a from documents)),
-    e as (select doc_id, pos, replace(replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') as x from l where line <> '' and not regexp_matches(line, '^(#{1,6} |[-*] |\d+\. )') and not regexp_matches(line, '^(-{3,}|\*{3,})$')),
-    h as (select doc_id, pos, '<p>' || regexp_replace(regexp_replace(regexp_replace(x, '`([^`]+)`', '<code>\1</code>', 'g'), '\*\*([^*]+)\*\*', '<strong>\1</strong>', 'g'), '\*([^*]+)\*', '<em>\1</em>', 'g') || '</p>' as html from e)
-    select doc_id, string_agg(html, chr(10) order by pos) as html from h where doc_id in (select doc_id from documents where not regexp_matches(coalesce(text, ''), '(^|\n)\s*(#{1,6} |[-*] |\d+\. |-{3,}|\*{3,})')) group by doc_id"""
-)
+def markdown_sql(md: str) -> str:
+    """HTML of documents whose markdown an expression gives: headings, items, rules and paragraphs."""
+    return rf"""with l as (select doc_id, unnest(range(len(a))) as pos, trim(unnest(a), ' ') as line from (select doc_id, string_split({md}, chr(10)) as a from documents)),
+    e as (select *, length(regexp_extract(line, '^(#{{1,6}}) ', 1)) as h, regexp_matches(line, '^([-*]|\d+\.) ') as item, regexp_matches(line, '^(-{{3,}}|\*{{3,}})$') as rule from l where line <> ''),
+    b as (select *, replace(replace(replace(replace(case when h > 0 or item then regexp_replace(line, '^(#{{1,6}}|[-*]|\d+\.) +', '') else line end, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') as x from e),
+    i as (select *, regexp_replace(regexp_replace(regexp_replace(x, '`([^`]+)`', '<code>\1</code>', 'g'), '\*\*([^*]+)\*\*', '<strong>\1</strong>', 'g'), '\*([^*]+)\*', '<em>\1</em>', 'g') as y from b),
+    o as (select doc_id, pos, case when h > 0 then '<h' || h || '>' || y || '</h' || h || '>' when item then '<li>' || y || '</li>' when rule then '<hr>' else '<p>' || y || '</p>' end as z,
+      item and not coalesce(lag(item) over (partition by doc_id order by pos), false) as opens, item and not coalesce(lead(item) over (partition by doc_id order by pos), false) as ends from i)
+    select doc_id, string_agg(case when opens then '<ul>' else '' end || z || case when ends then '</ul>' else '' end, chr(10) order by pos) as html from o group by doc_id"""
+
+
+@query(markdown_sql("coalesce(text, '')"))
 def markdown_to_html(spark, d):
     return P.to_html(t(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
 

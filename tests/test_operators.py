@@ -160,6 +160,11 @@ def test_markdown_query_takes_all_documents(spark, tmp_path):
     spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: r["html"] for r in registry.QUERIES["markdown_to_html"](spark, str(tmp_path)).collect()}
     assert got == {i: loop(x) for i, x in enumerate(docs) if x.strip()}
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert dict(con.sql(registry.SQL["markdown_to_html"]).fetchall()) == got
 
 
 def test_docs_and_corrupt_files(spark, tmp_path):
