@@ -3,8 +3,9 @@
 A word is the bag of its character n-grams (with marks at both ends) and of itself, hashed to
 BUCKETS rows of an embedding table; a text is the mean of its words and of PRIOR blank ones, so that
 one word of a very short text doesn't decide alone. Embeddings and softmax
-weights are trained together on labelled rows, at most `sample` of them, taken by hash of
-their id. Misspelt words share most of their n-grams with the words that were seen. Because all
+weights are trained together on labelled rows, at most `sample` of them, half of each label as far
+as there are so many, taken by hash of their id; each row weighs as many labelled rows as it stands
+for, so the share of toxic texts is that of all labels. Misspelt words share most of their n-grams with the words that were seen. Because all
 is linear, scoring needs one number per n-gram: the trained model is a vector of BUCKETS floats.
 
 Cases: null, empty and blank texts get the score of the intercept alone; without labelled rows, or
@@ -116,15 +117,18 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(out, -50, 50)))
 
     @classmethod
-    def fit(cls, bags: list[tuple[bytes, np.ndarray]], labels: np.ndarray, rounds: int = 45, rate: float = 0.5, common: float = 0.005, seed: int = 7) -> ToxicityModel:
+    def fit(cls, bags: list[tuple[bytes, np.ndarray]], labels: np.ndarray, weights: np.ndarray | None = None, rounds: int = 150, rate: float = 0.5, common: float = 0.005, seed: int = 7) -> ToxicityModel:
         """Embeddings and softmax weights by gradient descent with momentum on all rows at once.
 
         An n-gram's step is scaled by its share of the text, and n-grams in fewer than
-        `common` of the rows stay zero: the rest can't be learnt by heart.
+        `common` of the rows stay zero: the rest can't be learnt by heart. weights: how much each row counts.
         """
+        weights = np.ones(len(bags)) if weights is None else weights
+        weights = (weights / max(weights.sum(), 1e-9)).astype(np.float32)
         share = float(labels.mean()) if len(bags) else 0.0
         if share in (0.0, 1.0):
             return cls(np.zeros(BUCKETS, np.float32), 50.0 if share else -50.0)
+        share = float(weights @ labels)
         number: dict[bytes, int] = {}
         rows = [np.array([number.setdefault(w, len(number)) for w in joined.split()], np.int32) for joined, _ in bags]
         lens, flat = np.zeros(len(number), np.int32), array("i")
@@ -148,7 +152,7 @@ class ToxicityModel:
         to_word = _Sums(flat[flat >= 0], np.bincount(owner, minlength=len(lens)), (1 / lens).astype(np.float32)[owner], len(used))
         del flat, owner, place, seen
         to_text = _Sums(np.concatenate(rows), np.array([len(r) for r in rows]), np.concatenate([v for _, v in bags]), len(lens))
-        mass = to_word.transposed(to_text.transposed(np.full((len(rows), 1), 1 / len(rows), np.float32)))
+        mass = to_word.transposed(to_text.transposed(weights[:, None]))
         step = 1 / (mass * SCALE**2 + 1e-6)
         rng = np.random.default_rng(seed)
         table = rng.normal(0, 0.05, (len(used), DIMS)).astype(np.float32)
@@ -161,15 +165,15 @@ class ToxicityModel:
             p = np.exp(logits - logits.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(rows)), labels] -= 1
-            p /= len(rows)
+            p *= weights[:, None]
             grads = [to_word.transposed(to_text.transposed((p @ soft.T * SCALE).astype(np.float32))) * step, mean.T @ p, p.sum(0)]
             for value, move, grad, speed in zip((table, soft, bias), moves, grads, (rate, 0.05, 0.05)):
                 move *= 0.9
                 move += grad
                 value -= speed * move
-        weights = np.zeros(BUCKETS, np.float32)
-        weights[used] = table @ (soft[:, 1] - soft[:, 0]) * SCALE
-        return cls(weights, float(bias[1] - bias[0]))
+        learnt = np.zeros(BUCKETS, np.float32)
+        learnt[used] = table @ (soft[:, 1] - soft[:, 0]) * SCALE
+        return cls(learnt, float(bias[1] - bias[0]))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -177,12 +181,18 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
-    """A model from at most `sample` labelled rows that aren't held out.
+    """A model from at most `sample` labelled rows that aren't held out, half of each label if there are enough.
 
     docs: id, text. labels: doc_id, toxic. Only the sample's distinct words go to the driver.
     """
     picked = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
-    picked = picked.select(F.col("doc_id").cast("bigint").alias("id"), (F.col("toxic") > 0).cast("int").alias("label")).orderBy(F.xxhash64("id"), "id", "label").limit(sample)
+    picked = picked.select(F.col("doc_id").cast("bigint").alias("id"), (F.col("toxic") > 0).cast("int").alias("label"))
+    sizes = {r["label"]: r["count"] for r in picked.groupBy("label").count().collect()}
+    clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
+    shares = {1: min(toxic, max(sample // 2, sample - clean))}
+    shares[0] = min(clean, sample - shares[1])
+    halves = [picked.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(n) for k, n in shares.items()]
+    picked = halves[0].union(halves[1])
     rows = docs.join(F.broadcast(picked), "id")
 
     def run(batches):
@@ -195,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityM
     got = sorted(((r["id"], r["label"], bytes(r["words"]), np.frombuffer(r["shares"], np.float32)) for r in bags.toLocalIterator()), key=lambda r: r[:2])
     labels = np.array([r[1] for r in got], np.int64)
     got = [r[2:] for r in got]
-    return ToxicityModel.fit(got, labels)
+    return ToxicityModel.fit(got, labels, np.array([sizes[k] / shares[k] for k in labels.tolist()]))
 
 
 def scored(docs: DataFrame, model: ToxicityModel, columns: list[str], name: str = "score") -> DataFrame:

@@ -342,6 +342,23 @@ def test_toxicity_learns_stems(spark):
     assert all(r["predicted"] == 0 for r in none)
 
 
+def test_toxicity_sample_is_balanced(spark, monkeypatch):
+    ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5][:1040]
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in ids], "id bigint, text string")
+    labels = spark.createDataFrame([(i, int(n < 40)) for n, i in enumerate(ids)], "doc_id bigint, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity.ToxicityModel, "fit", lambda bags, own, weights: seen.append((len(bags), own, weights)))
+    for sample, toxic in ((60, 30), (500, 40), (5000, 40), (1, 0)):
+        toxicity.train(docs, labels, sample)
+        n, own, weights = seen.pop()
+        assert n == min(sample, 1040) and own.sum() == toxic
+        for label, all_rows in ((0, 1000), (1, 40)):
+            if (own == label).any():
+                assert abs(weights[own == label].sum() - all_rows) < 1e-6
+    toxicity.train(docs, labels.where("toxic > 1"))
+    assert seen.pop()[0] == 0
+
+
 def test_toxicity_reads_long_words():
     """A passage behind the first 64 characters of a text without blanks counts as one before them."""
     weights = np.zeros(toxicity.BUCKETS, np.float32)
