@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import SPACES, column, partitions, slices, stored
+from .common import SPACES, column, partitions, slices, stored, thrifty
 
 #: Fingerprints that one task gathers before it writes out its filters.
 FLUSH = 4_000_000
@@ -101,6 +101,7 @@ def normalised(text: str | None) -> bytes:
 def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, n_points, sha, fp) of the rows' normalised texts."""
 
+    @thrifty
     def run(batches):
         for batch in slices(batches, "text"):
             texts = column(batch, "text").to_pylist()
@@ -126,6 +127,7 @@ def repeated(fingerprints: DataFrame) -> DataFrame:
         blocks = [(int(segment[a]), CountingQuotientFilter.build(keys[a:b], counts[a:b], bits).to_bytes()) for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)])]
         return pa.RecordBatch.from_arrays([pa.array([s for s, _ in blocks], pa.int32()), pa.array([f for _, f in blocks], pa.binary())], ["segment", "filter"])
 
+    @thrifty
     def build(batches):
         held, n = [], 0
         for batch in batches:
@@ -137,6 +139,7 @@ def repeated(fingerprints: DataFrame) -> DataFrame:
         if n:
             yield write(held)
 
+    @thrifty
     def merge(batches):
         last, held = None, []
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import column, mix, partitions, slices, stored
+from .common import column, mix, partitions, slices, stored, thrifty
 from .graph import components, extended
 
 REGISTERS, ROWS, MANTISSA = 128, 4, 10
@@ -135,6 +135,7 @@ def _set_key(hashes: np.ndarray) -> bytes:
 def signatures(docs: DataFrame, k: int) -> DataFrame:
     """(id, mark, n, set_key, regs) of (id, mark, text); key and registers are null for empty sets."""
 
+    @thrifty
     def run(batches):
         known = _Words()
         for batch in slices(batches, "text"):
@@ -150,6 +151,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 def _bands(reps: DataFrame) -> DataFrame:
     """(band, key, id): one row per band of each representative."""
 
+    @thrifty
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
@@ -169,6 +171,7 @@ def _likely(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
     """Of the pairs (a, b), those whose registers leave the similarity possible."""
     least = _sieve(similarity)
 
+    @thrifty
     def run(batches):
         for batch in batches:
             if batch.num_rows:
@@ -192,6 +195,7 @@ class _Sets:
     def _add(self, ids: DataFrame) -> None:
         k = self.k
 
+        @thrifty
         def run(batches):
             known, done = _Words(), set()  # done: classes, so that repeated rows count once
             for batch in slices(batches, "text"):
@@ -280,6 +284,7 @@ def _rest(own: DataFrame, mixed: DataFrame, reps: DataFrame, sets: _Sets, simila
             if len(y):
                 yield x, y
 
+    @thrifty
     def sieve(batches):
         for group in groups(batches, keys):
             use = np.zeros(group.num_rows, bool)
@@ -287,6 +292,7 @@ def _rest(own: DataFrame, mixed: DataFrame, reps: DataFrame, sets: _Sets, simila
                 use[x] = use[y] = True
             yield from group.filter(pa.array(use)).combine_chunks().to_batches()
 
+    @thrifty
     def confirm(batches):
         for group in groups(batches, keys):
             lists = group["hashes"].combine_chunks()

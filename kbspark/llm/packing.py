@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from .common import column, ragged, slices, stored
+from .common import column, ragged, slices, stored, thrifty
 
 OPEN = 512
 #: Pieces per packer, on average.
@@ -103,6 +103,7 @@ def word_tokens(path: str) -> WordTokens:
 def pieces(docs: DataFrame, path: str, capacity: int, separator: int, with_ids: bool) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of documents cut at the capacity."""
 
+    @thrifty
     def run(batches):
         use = word_tokens(path)
         for batch in slices(batches, "text"):
@@ -164,6 +165,7 @@ def pack(cut: DataFrame, capacity: int = 2048, most: int = OPEN) -> DataFrame:
     h = F.xxhash64("doc_id", "piece", "length", "ids_crc32")
     dealt = cut.withColumns({"_h": h, "_packer": F.pmod(h, F.lit(packers)).cast("int")})
 
+    @thrifty
     def run(batches):
         last, bins = None, None
         for batch in batches:

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import column, ragged, slices
+from .common import column, ragged, slices, thrifty
 
 BUCKETS, DIMS, SCALE, PRIOR = 1 << 20, 2, 30.0, 8
 #: At most so many labelled rows are fitted.
@@ -195,6 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityM
     picked = halves[0].union(halves[1])
     rows = docs.join(F.broadcast(picked), "id")
 
+    @thrifty
     def run(batches):
         for batch in slices(batches, "text"):
             got = [bag(t) for t in column(batch, "text").to_pylist()]
@@ -213,6 +214,7 @@ def scored(docs: DataFrame, model: ToxicityModel, columns: list[str], name: str
     weights, bias = docs.sparkSession.sparkContext.broadcast(model.weights), model.bias  # of fixed size
     keep = [c for c in columns if c != name]
 
+    @thrifty
     def run(batches):
         use = ToxicityModel(weights.value, bias)
         for batch in slices(batches, "text"):
