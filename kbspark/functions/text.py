@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import unicodedata
 
 from pyspark.sql import Column, functions as F
@@ -49,8 +50,8 @@ def fold_text(c: Column) -> Column:
     apart = low
     for x, y in many.items():
         apart = F.replace(apart, F.lit(x), F.lit(y))
-    low = F.when(low.rlike("[" + "".join(many) + "]"), apart).otherwise(low)
-    return F.translate(low, "".join(one) + MARKS, "".join(one.values()))
+    # told by lengths and plain replacements: patterns would cost several times what the folding does
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(apart, "".join(one) + MARKS, "".join(one.values())))
 
 
 def fold_exact(c: Column) -> Column:
@@ -70,6 +71,14 @@ def tokens(c: Column, exact: bool = False) -> Column:
     return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(STOP))
 
 
+def tokens_of(c: Column, words: list[str]) -> Column:
+    """The tokens that are among some words, in order, by one pattern over the folded text."""
+    able = [w for w in words if re.fullmatch("[a-z0-9]{2,}", w) and w not in STOP]
+    if not able:
+        return F.array().cast("array<string>")
+    return F.regexp_extract_all(fold_text(F.coalesce(c, F.lit(""))), F.lit(f"(?<![a-z0-9])(?:{'|'.join(able)})(?![a-z0-9])"), 0)
+
+
 def collapse(c: Column) -> Column:
     """Runs of Unicode white space become one blank; none at the ends."""
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))

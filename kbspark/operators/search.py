@@ -27,9 +27,9 @@ def kind_order(kind: Column) -> Column:
 
 def _occurrences(records: DataFrame, only: list[str] | None = None) -> DataFrame:
     """(rec_id, term, t): each token of title (t = 1) and text, in one scan; only: of these words."""
-    own = lambda c: T.tokens(F.col(c)) if only is None else F.filter(T.tokens(F.col(c)), lambda w: w.isin(only) if only else F.lit(False))
-    flagged = lambda c, flag: F.transform(own(c), lambda w: F.struct(w.alias("term"), F.lit(flag).alias("t")))
-    return records.select("rec_id", F.inline(F.concat(flagged("title", 1), flagged("text", 0))))
+    own = lambda c: T.tokens(F.col(c)) if only is None else T.tokens_of(F.col(c), only)
+    parts = F.array(*[F.struct(F.lit(flag).alias("t"), own(c).alias("words")) for c, flag in (("title", 1), ("text", 0))])
+    return records.select("rec_id", F.inline(parts)).select("rec_id", F.explode("words").alias("term"), "t")
 
 
 def postings(records: DataFrame, only: list[str] | None = None) -> DataFrame:
@@ -84,6 +84,15 @@ def document_frequency(posts: DataFrame) -> DataFrame:
     return posts.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def frequencies(records: DataFrame) -> DataFrame:
+    """(term, df) of all words. A record's distinct words are counted where it is read, and counts are combined before the
+    shuffle; only if an id stands in several rows do ids travel with the words."""
+    if not records.groupBy("rec_id").count().where("count > 1").isEmpty():
+        return document_frequency(postings(records))
+    words = F.array_distinct(F.concat(T.tokens(F.col("title")), T.tokens(F.col("text"))))
+    return document_frequency(records.select(F.explode(words).alias("term")))
+
+
 def idf(n: Column, df: Column) -> Column:
     return F.log((n + 1) / (F.coalesce(df, F.lit(0)) + 0.5))
 
@@ -124,6 +133,11 @@ def search(records: DataFrame | Index, queries: dict[int, str], k: int = 25, syn
     return scored.withColumn("rank", rank).where(F.col("rank") <= (k or 25)).select("query_id", "rank", "rec_id", "score", "matched")
 
 
+def found(hits: DataFrame, records: DataFrame) -> DataFrame:
+    """Hits with columns of their records. The hits, k a query at most, travel; the records stay where they are read."""
+    return F.broadcast(hits).join(records, "rec_id")
+
+
 def complete(symptom: Column, cause: Column, fix: Column) -> Column:
     out = F.lit(True)
     for c in (symptom, cause, fix):
@@ -225,14 +239,14 @@ def view(records: DataFrame | Index, query: str | None, browse_all: bool = False
         return browse(facet_filter(rows, kind, tag, version), page)
     if blank:
         return top_records(rows)
-    return facet_filter(search(records, {0: query}, 60).join(rows, "rec_id"), kind, tag, version).orderBy("rank")
+    return facet_filter(found(search(records, {0: query}, 60), rows), kind, tag, version).orderBy("rank")
 
 
 def acceptance(records: DataFrame | Index, queries: dict[int, str], kinds: tuple[str, ...] = ("doc", "thread"), k: int = 25) -> DataFrame:
     """(query_id, kind, hits, ok): whether each query finds records of each kind among its k best."""
     rows = records.records if isinstance(records, Index) else records
     spark = rows.sparkSession
-    hits = search(records, queries, k).join(rows.select("rec_id", "kind"), "rec_id").groupBy("query_id", "kind").agg(F.count("*").alias("hits"))
+    hits = found(search(records, queries, k), rows.select("rec_id", "kind")).groupBy("query_id", "kind").agg(F.count("*").alias("hits"))
     asked = spark.createDataFrame([(q, x) for q in queries for x in kinds], "query_id int, kind string")
     n = F.coalesce("hits", F.lit(0)).cast("bigint")
     return asked.join(hits, ["query_id", "kind"], "left").select("query_id", "kind", n.alias("hits"), (n > 0).alias("ok"))
