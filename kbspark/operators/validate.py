@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
@@ -35,15 +37,39 @@ def record_errors(json: Column, text: Column, keys: tuple[str, ...] = REPO_KEYS,
     """Errors of a record in JSON against the text it was drawn from: missing keys, then types, then
     values that don't stand in the text. Null is a value; only keys that are not there are missing."""
     v = F.try_parse_json(json)
-    names = F.coalesce(F.json_object_keys(json), F.array().cast("array<string>"))
-    get = lambda k, t="string": F.try_variant_get(v, f"$.{k}", t)
-    kind = lambda k: F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant")), F.lit("VOID"))
+    return tiers(*_record_tiers(v, _names(json), lambda k: _kind(v, k), lambda k: _text(v, k), json, text, keys, repos))
+
+
+def with_record_errors(df: DataFrame, json: Column, text: Column, keys: tuple[str, ...] = REPO_KEYS, repos: list[str] | None = None, column: str = "errors") -> DataFrame:
+    """df with record_errors as a column, step by step: each record is parsed once, not once for each rule, and each tier is worked out once."""
+    d = df.withColumns({"_json": json, "_text": text})
+    d = d.withColumns({"_v": F.try_parse_json("_json"), "_names": _names(F.col("_json"))})
+    d = d.withColumns({x: c for k in keys for x, c in ((f"_kind_{k}", _kind(F.col("_v"), k)), (f"_text_{k}", _text(F.col("_v"), k)))})
+    *parts, found = _record_tiers(F.col("_v"), F.col("_names"), lambda k: F.col(f"_kind_{k}"), lambda k: F.col(f"_text_{k}"), F.col("_json"), F.col("_text"), keys, repos)
+    d = d.withColumns({f"_tier_{i}": p for i, p in enumerate(parts)})
+    d = d.withColumn(column, tiers(*[F.col(f"_tier_{i}") for i in range(len(parts))], found))
+    return d.select(*[c for c in df.columns if c != column], column)
+
+
+def _names(json: Column) -> Column:
+    return F.coalesce(F.json_object_keys(json), F.array().cast("array<string>"))
+
+
+def _kind(v: Column, k: str) -> Column:
+    return F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant")), F.lit("VOID"))
+
+
+def _text(v: Column, k: str) -> Column:
+    return F.try_variant_get(v, f"$.{k}", "string")
+
+
+def _record_tiers(v: Column, names: Column, kind: Callable[[str], Column], get: Callable[[str], Column], json: Column, text: Column, keys: tuple[str, ...], repos: list[str] | None) -> list[Column]:
     shape = errors((v.isNull() | ~F.schema_of_variant(v).startswith("OBJECT"), "record is not a JSON object"))
     missing = F.transform(F.filter(F.array(*[F.lit(k) for k in keys]), lambda k: ~F.array_contains(names, k)), lambda k: F.concat(F.lit("missing required field '"), k, F.lit("'")))
     text_of = lambda k: F.when(kind(k) == "STRING", F.trim(get(k)))
     rules = []
     if "issue_id" in keys:
-        rules.append((~((kind("issue_id") == "BIGINT") & F.coalesce(get("issue_id", "bigint") >= 1, F.lit(False))), "issue_id must be a positive integer"))
+        rules.append((~((kind("issue_id") == "BIGINT") & F.coalesce(F.try_variant_get(v, "$.issue_id", "bigint") >= 1, F.lit(False))), "issue_id must be a positive integer"))
         if repos is not None:
             rules.append((~F.coalesce(get("repo").isin(repos), F.lit(False)), "repo is not a known one"))
         rules.append((~F.coalesce(text_of("url").rlike(r"^https://github\.com/.+/issues/\d+$"), F.lit(False)), "url must be an https issue link"))
@@ -58,7 +84,7 @@ def record_errors(json: Column, text: Column, keys: tuple[str, ...] = REPO_KEYS,
     absent = lambda k, of: F.transform(F.filter(entries(k), lambda e: (F.length(of(e)) > 0) & ~T.named_in(of(e), text)), lambda e: F.concat(F.lit(f"{k} entry '"), e, F.lit("' is not in the text")))
     quote = errors((~T.quoted_in(get("evidence_quote"), text), "evidence_quote is not in the text word for word"))
     found = F.concat(quote, absent("devices", lambda e: e), absent("android_versions", lambda e: e), absent("settings_changed", T.setting_name))
-    return tiers(shape, missing, errors(*rules), found)
+    return [shape, missing, errors(*rules), found]
 
 
 def routed(df: DataFrame, column: str = "errors") -> tuple[DataFrame, DataFrame]:

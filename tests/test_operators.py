@@ -388,3 +388,13 @@ def test_words_of_a_search_by_one_pattern(spark):
     docs = spark.createDataFrame([("r", 0, "", "heed")], "rec_id string, build_ord bigint, title string, text string")
     assert "lambda" not in search.postings(docs, ["heed", "anly"])._jdf.queryExecution().optimizedPlan().toString()
     assert [r["rec_id"] for r in search.search(docs, {1: "heed anly"}).collect()] == ["r"]
+
+
+def test_records_are_parsed_once(spark):
+    rows = [(json.dumps(RECORD | c), "With G7 the alarm is off.") for c in ({}, {"issue_id": True}, {"devices": "G7"}, {"devices": ["Zz 9"]}, {"confidence": 3}, {"fix": None})] + [("[1]", ""), ("{", ""), (None, None), ('{"title": 1}', "")]
+    df = spark.createDataFrame(rows, "j string, t string")
+    each = df.select("j", validate.record_errors(F.col("j"), F.col("t")).alias("errors"))
+    once = validate.with_record_errors(df, F.col("j"), F.col("t"))
+    assert [r["errors"] for r in once.collect()] == [r["errors"] for r in each.collect()]
+    parses = [x._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") for x in (once, each)]
+    assert parses[0] == 1 < parses[1], parses
